@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, mixing
+from . import bpe, mixing, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    return splitting.split_tables(*(table(spark, sf_dir, t) for t in ("raw_docs", "chunk_drafts", "chunk_rows", "size_limits")), with_text=with_text)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that had to be cut."""
+    return _pieces(spark, sf_dir, with_text=False).filter("n_pieces > 1 and piece_no = 0").select("item_kind", "item_id", "draft_no")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces, of cut and uncut items."""
+    return _pieces(spark, sf_dir, with_text=True).select("item_kind", "item_id", "draft_no", "piece_no", "n_pieces", "start_pos", "end_pos", "piece_size", F.col("piece_section").alias("section"), F.col("piece_text").alias("text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary())
@@ -34,7 +49,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of the package by name."""
-    return {f.__name__: f for f in (p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
