@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, mixing, splitting
+from . import bpe, mixing, neardup, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,21 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, with_text=True).select("item_kind", "item_id", "draft_no", "piece_no", "n_pieces", "start_pos", "end_pos", "piece_size", F.col("piece_section").alias("section"), F.col("piece_text").alias("text"))
 
 
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [table(spark, sf_dir, t).select(F.col("chunk_id").alias("record_id"), "text") for t in ("chunk_rows", "kg_nodes")]
+    return neardup.group(rows[0].unionByName(rows[1]))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one group."""
+    return neardup.pairs(_grouped(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's group and its number of links."""
+    return _grouped(spark, sf_dir)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary())
@@ -49,7 +64,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of the package by name."""
-    return {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p6_ids, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
