@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, mixing, neardup, splitting
+from . import bpe, mixing, neardup, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,9 +62,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every document."""
+    return sentences.split(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """All queries of the package by name."""
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p6_ids, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
