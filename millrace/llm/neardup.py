@@ -9,6 +9,11 @@ at most one component. Of every segment its one-wildcard variants are indexed
 (the segment with one component deleted), variants are joined on equality, and
 candidates are verified on the triples themselves.
 
+Candidates are first judged by a short sketch of independent minima, which
+lets pairs of the required similarity pass but for less than one in a million;
+the shingles are then read only for sets that a remaining pair names, found
+among all rows by a Bloom filter of fixed size.
+
 Exact copies (equal sets of triples) are one representative from the start.
 Variants that many representatives share don't produce all their pairs: their
 members are compared with the first member, and only what then still lies in
@@ -69,8 +74,14 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return np.searchsorted(text, np.arange(len(texts) + 1)), mixed
 
 
-def _hashers(n: int) -> list[tuple[np.uint64, np.uint64]]:
-    r = np.random.default_rng(20250101)
+#: Minima of a sketch, four bits of each, and how many must agree per required similarity (five standard deviations below the mean).
+SKETCH = 64
+#: 64-bit words of the Bloom filter; when it is full it only lets more through.
+BLOOM_WORDS = 1 << 17
+
+
+def _hashers(n: int, seed: int = 20250101) -> list[tuple[np.uint64, np.uint64]]:
+    r = np.random.default_rng(seed)
     return [(np.uint64(int(a) | 1), np.uint64(int(b))) for a, b in r.integers(1, 2**63, (n, 2))]
 
 
@@ -97,6 +108,23 @@ def variants(signature: np.ndarray, segments: int, width: int) -> np.ndarray:
     return out
 
 
+def sketches(offsets: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """A row of SKETCH / 2 bytes for each text with at least one shingle: four bits of each of independent minima."""
+    first = offsets[:-1][np.diff(offsets) > 0]
+    out = np.zeros((len(first), SKETCH // 2), np.uint8)
+    for k, (a, b) in enumerate(_hashers(SKETCH, 20250202) if len(first) else ()):
+        x = hashed * a + b
+        low = np.minimum.reduceat(x ^ (x >> np.uint64(29)), first)
+        out[:, k // 2] |= ((S.mix64(low) & np.uint64(15)) << np.uint64(4 * (k % 2))).astype(np.uint8)
+    return out
+
+
+def agreeing(least: float) -> int:
+    """How many minima of the sketches of two sets agree at least, at the similarity ``least``."""
+    p = least + (1 - least) / 16
+    return int(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
 def set_ids(offsets: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a 64-bit hash of each text's set of shingles, whether it has any)."""
     full = np.diff(offsets) > 0
@@ -114,18 +142,20 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.R
 
 
 def members(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """(record_id, set_id) of rows (record_id, text), each combination once.
+    """(record_id, set_id, n, sketch) of rows (record_id, text), each combination once.
 
-    set_id stands for the set of shingles; it is null for texts of fewer
+    set_id stands for the set of n shingles; it is null for texts of fewer
     words, empty and null texts, which share nothing with any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at, hashed in _texts(batches, words):
             ids, full = set_ids(at, hashed)
-            yield pa.RecordBatch.from_arrays([part.column("record_id"), pa.array(ids, mask=~full)], names=["record_id", "set_id"])
+            short = iter(sketches(at, hashed))
+            drawn = pa.array([next(short).tobytes() if f else None for f in full.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("record_id"), pa.array(ids, mask=~full), pa.array(np.diff(at).astype(np.int32)), drawn], names=["record_id", "set_id", "n", "sketch"])
 
-    return df.select("record_id", "text").mapInArrow(run, "record_id string, set_id bigint").distinct()
+    return df.select("record_id", "text").mapInArrow(run, "record_id string, set_id bigint, n int, sketch binary").dropDuplicates(["record_id", "set_id"])
 
 
 #: Most sets that an indexing task remembers, to index copies within its rows once.
@@ -154,34 +184,84 @@ def index(df: DataFrame, words: int, segments: int, width: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "key bigint, set_id bigint")
 
 
-def shingle_sets(df: DataFrame, words: int) -> DataFrame:
-    """(set_id, shingles) of rows (text) that have any."""
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids, two bits each, built by Spark in at most BLOOM_WORDS rows."""
+    h = F.explode(F.array(F.xxhash64("set_id", F.lit(1)), F.xxhash64("set_id", F.lit(2)))).alias("h")
+    word, bit = F.pmod(F.shiftrightunsigned("h", 6), F.lit(BLOOM_WORDS)), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    rows = ids.select(h).groupBy(word.cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(BLOOM_WORDS, np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return out
+
+
+def shingle_sets(df: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """(set_id, shingles) of the texts whose set_id is wanted, each set once."""
+    bits = df.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, at, hashed in _texts(batches, words):
             ids, full = set_ids(at, hashed)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashed.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~full), lists], names=["set_id", "shingles"])
-
-    return df.select("text").mapInArrow(run, "set_id bigint, shingles array<bigint>").filter("set_id is not null")
+            hit = full.copy()
+            for seed in (1, 2):
+                h = xxhash64_of_long(ids, seed)
+                words_ = ((h >> np.uint64(6)).astype(np.int64)) % BLOOM_WORDS
+                hit &= (bits.value[words_].view(np.uint64) >> (h & np.uint64(63))) & np.uint64(1) == 1
+            rows = np.flatnonzero(hit)
+            if len(rows):
+                size = np.diff(at)[rows]
+                flat = hashed[S.flat_ranges(at[rows], size)].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), lists], names=["set_id", "shingles"])
+
+    some = df.select("text").mapInArrow(run, "set_id bigint, shingles array<bigint>")
+    return some.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+
+
+def xxhash64_of_long(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Spark's xxhash64(bigint, int) of every id, so that both sides of the filter agree."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def rotl(x: np.ndarray, r: int) -> np.ndarray:
+        return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+    def final(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        x = ids.view(np.uint64)
+        h = np.full(len(x), np.uint64(42) + p5 + np.uint64(8), np.uint64)
+        h = rotl(h ^ (rotl(x * p2, 31) * p1), 27) * p1 + p4
+        h = final(h)  # the seed of the second column
+        h = h + p5 + np.uint64(4)
+        h = rotl(h ^ (np.uint64(seed) * p1), 23) * p2 + p3
+        return final(h)
 
 
 def verified(pairs: DataFrame, df: DataFrame, sets: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs (a, b) of set_ids whose shared shingles are at least ``least`` of all shingles of either.
+    """The pairs (a, b) of set_ids whose shared shingles are at least ``least`` of all shingles of either."""
+    drawn = sets.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    near = pairs.join(drawn.select(F.col("set_id").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_ka")), "a")
+    near = near.join(drawn.select(F.col("set_id").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_kb")), "b")
+    near = near.filter(F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9).select("a", "b", "_ka", "_kb")
+    enough = agreeing(least)
 
-    Only texts of sets that occur in a pair are read into shingles: of each
-    set the text of its least record_id.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    one = sets.filter("set_id is not null").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("record_id").alias("record_id"))
-    texts = df.select("record_id", "text").join(one.select("record_id").distinct(), "record_id", "left_semi")
-    own = shingle_sets(texts, words).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
-    own = cut(own)
-    both = pairs.join(own.select(F.col("set_id").alias("a"), F.col("shingles").alias("_sa")), "a")
-    both = both.join(own.select(F.col("set_id").alias("b"), F.col("shingles").alias("_sb")), "b")
-    na, nb = F.size("_sa"), F.size("_sb")
-    both = both.filter(F.least(na, nb) >= least * F.greatest(na, nb))
-    shared = F.size(F.array_intersect("_sa", "_sb"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_ka", "_kb"))
+                z = x ^ y
+                same = ((z & 15) == 0).sum(axis=1) + ((z >> 4) == 0).sum(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(same >= enough))
+
+    near = cut(near.mapInArrow(run, "a bigint, b bigint"))
+    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    own = shingle_sets(df, words, wanted)
+    ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("set_id"))
+    both = ends.join(own, "set_id").groupBy("a", "b").agg(F.collect_list("shingles").alias("_s")).filter(F.size("_s") == 2)
+    na, nb = F.size(F.col("_s")[0]), F.size(F.col("_s")[1])
+    shared = F.size(F.array_intersect(F.col("_s")[0], F.col("_s")[1]))
     return both.filter(shared >= F.lit(least) * (na + nb - shared) - 1e-9).select("a", "b")
 
 
@@ -231,14 +311,14 @@ def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int =
     # Count and least member of every variant in one shuffle; the window streams and spills.
     same = W.Window.partitionBy("key")
     shared = index(df, words, segments, width).withColumn("n", F.count("*").over(same)).filter("n > 1").withColumn("first", F.min("set_id").over(same))
-    shared = cut(shared.withColumn("n", F.when(F.col("n") <= HOT, F.col("n"))))
-    few = shared.filter("n is not null").groupBy("key").agg(F.array_sort(F.collect_set("set_id")).alias("ids"))
-    few = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(HOT))).alias("b"))
-    hot = shared.filter("n is null").select("key", "set_id", "first").distinct()
-    star = hot.filter("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
-    links = cut(verified(cut(few.unionByName(star).distinct()), df, sets, least, words))
+    few = shared.filter(F.col("n") <= HOT).groupBy("key").agg(F.array_sort(F.collect_set("set_id")).alias("ids"))
+    few = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(HOT))).alias("b"), F.lit(False).alias("hot"))
+    star = shared.filter((F.col("n") > HOT) & (F.col("set_id") != F.col("first"))).select(F.col("first").alias("a"), F.col("set_id").alias("b"), F.lit(True).alias("hot"))
+    met = cut(few.unionByName(star).groupBy("a", "b").agg(F.max("hot").alias("hot")))
+    links = cut(verified(met.select("a", "b"), df, sets, least, words))
     groups = components(links)
-    if not hot.isEmpty():
+    if not met.filter("hot").isEmpty():
+        hot = shared.filter(F.col("n") > HOT).select("key", "set_id").distinct()
         # Members of hot variants that lie in different groups meet, group against group.
         own = hot.join(groups, hot.set_id == groups.node, "left").select("key", "set_id", F.coalesce("group", "set_id").alias("g"))
         mixed = own.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("key")
@@ -248,7 +328,7 @@ def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int =
         links = cut(links.unionByName(verified(cut(cross), df, sets, least, words)).distinct())
         groups = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = sets.withColumnRenamed("set_id", "node").join(groups, "node", "left").join(degree, "node", "left")
+    out = sets.select("record_id", F.col("set_id").alias("node")).join(groups, "node", "left").join(degree, "node", "left")
     return out.select("record_id", F.coalesce("group", "node").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
