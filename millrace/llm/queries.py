@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, mixing, neardup, sentences, splitting
+from . import bpe, mixing, neardup, pii, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,18 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of personal information in the logs."""
+    return pii.find(table(spark, sf_dir, "rag_logs"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs with placeholders, each log once."""
+    logs = table(spark, sf_dir, "rag_logs").select("log_id", "question", "answer", "contexts").dropDuplicates(["log_id"])
+    out = pii.redact_columns(logs, ["question", "answer", "contexts"])
+    return out.withColumn("contexts", F.transform("contexts", lambda x: x["text"]))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary())
@@ -69,7 +81,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of the package by name."""
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p6_ids, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_redacted, p6_ids, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
