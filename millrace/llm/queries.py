@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, mixing, neardup, pii, sentences, splitting
+from . import boilerplate, bpe, mixing, neardup, pii, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of pages and chunks that aren't body."""
+    return boilerplate.not_body(table(spark, sf_dir, "source_docs"), table(spark, sf_dir, "chunk_rows"))
+
+
+def p1_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' bodies, each page once."""
+    docs = table(spark, sf_dir, "source_docs").select("doc_id", "text").dropDuplicates(["doc_id"])
+    return boilerplate.bodies(docs, "doc_id", p1_found(spark, sf_dir))
+
+
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     return splitting.split_tables(*(table(spark, sf_dir, t) for t in ("raw_docs", "chunk_drafts", "chunk_rows", "size_limits")), with_text=with_text)
 
@@ -81,7 +92,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of the package by name."""
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_redacted, p6_ids, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_redacted, p6_ids, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
