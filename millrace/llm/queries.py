@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import boilerplate, bpe, mixing, neardup, pii, sentences, splitting
+from . import boilerplate, bpe, mixing, neardup, pairs, pii, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,16 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contexts", F.transform("contexts", lambda x: x["text"]))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defective pairs with their defect."""
+    return pairs.found(table(spark, sf_dir, "rag_logs"))
+
+
+def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All defects of each pair."""
+    return pairs.label(table(spark, sf_dir, "rag_logs")).select("log_id", F.array_join("defects", ",").alias("defects"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary())
@@ -92,7 +102,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of the package by name."""
-    return {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_redacted, p6_ids, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_labels, p6_ids, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
