@@ -15,9 +15,12 @@ heading, or with a fixed part around them that stands around titles elsewhere.
 
 from __future__ import annotations
 
+import marshal
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,6 +40,7 @@ BARE_LINKS = 4
 TEMPLATE, LIST_HEAD, LINK_KEY, OPEN, TITLE = 1, 2, 4, 8, 16
 # Kinds of counted elements.
 _LINE, _CELL, _OPEN, _HEAD, _KEY = range(5)
+_HEAD_MARK = 0x5DEECE66D
 
 _DIGITS = re.compile(r"\d+")
 _CELLS = re.compile(r"\s*[|•·]\s+|[^\S\t]{2,}|(?<=[.!?。])\s+")
@@ -45,6 +49,7 @@ _BULLET = re.compile(r"(?:[-*•·▪◦‣]|\d+[.)])\s+")
 _ENDED = re.compile(r"[.!?。！？…][\"'”’»」』)\]]*(?:\s|\Z)|[다요]\.")
 _TAGS = re.compile(r"(?:#[^\s#]+\s*)+\Z|(?:태그|키워드|Tags?|Keywords?|タグ|标签)\s*[:：]", re.I)
 _SUFFIX = re.compile(r"\s*(?:\(#\)|\[#\]|- \S+ #(?:,#)*)\Z")
+_LABEL = re.compile(r"(\S+(?: \S+){0,3}?(?: \||:|：)) (?=\S)")
 _NUMBERED = re.compile(r"#[.)]?\s+(?=\S)")
 
 
@@ -53,51 +58,82 @@ def _hash(kind: int, s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_of(line: str) -> dict | None:
-    """The elements of a line; None for a blank one."""
-    s = " ".join(line.split(" ")).strip()
+def _exact(line: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(line.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Line(NamedTuple):
+    """The hashed elements of a line, and what it looks like."""
+
+    line: int
+    exact: int
+    cells: tuple[int, ...]
+    crumb: int
+    keys: tuple[int, ...]
+    open: tuple[int, ...]
+    style: int
+    short: bool
+    tags: bool
+
+
+def line_of(line: str) -> tuple[Line, int, list[int]] | None:
+    """A line's elements, flags of its form (2: wordy, 1: digits) and, per link key, the hash of the rest; None for a blank line."""
+    s = line.strip()
     if not s:
         return None
-    bullet = bool(_BULLET.match(s))
+    tab = "\t" in s
     m = _DIGITS.sub("#", s)
-    body = re.sub(r"\s+", " ", m)
-    words = body.split(" ")
+    words = m.split()
+    body = " ".join(words)
+    digits = "#" in body
+    n = len(words)
+    if n > 40 and _ENDED.search(s):  # prose, or a notice that recurs as a whole
+        return Line(_hash(_LINE, body), _exact(line), (), 0, (), (), 0, False, False), 2 + digits, []
+    bullet = bool(_BULLET.match(s))
     ended = bool(_ENDED.search(s))
-    cells = [c for c in _CELLS.split(m) if c] if "\t" not in s else []
-    if len(cells) > 1 and all(_ENDED.search(c) for c in cells):
+    cells = [c for c in _CELLS.split(m) if c] if not tab else []
+    if len(cells) > 1 and ended and all(_ENDED.search(c) for c in cells):
         cells = []  # sentences only: prose, not a notice with its buttons
-    crumbs = [c for c in _CRUMBS.split(m) if c]
-    keys: list[tuple[int, int]] = []
+    crumbs = [c for c in _CRUMBS.split(m) if c] if not ended else []
+    keys: list[int] = []
+    rests: list[int] = []
     style = 0
-    if not ended and len(words) <= 16 and "\t" not in s:
-        for n in (1, 2):
-            if len(words) > n and (n == 2 or words[0][-1] in ":：" or words[0] == "#"):
-                keys.append((_hash(_KEY, " ".join(words[:n]) + " <>"), _hash(_LINE, " ".join(words[n:]))))
-        label = re.match(r"(\S+(?: \S+){0,3}?(?: \||:|：)) (?=\S)", body)
+    if not ended and n <= 16 and not tab:
+
+        def key(k: str, rest: str) -> None:
+            keys.append(_hash(_KEY, k))
+            rests.append(_hash(_LINE, rest))
+
+        if n > 1 and (words[0][-1] in ":：" or words[0] == "#"):
+            key(words[0] + " <>", " ".join(words[1:]))
+        if n > 2:
+            key(" ".join(words[:2]) + " <>", " ".join(words[2:]))
+        label = _LABEL.match(body)
         if label and label.group(1).count(" ") > 0:
-            keys.append((_hash(_KEY, label.group(1) + " <>"), _hash(_LINE, body[label.end() :])))
-        t = _SUFFIX.search(body)
+            key(label.group(1) + " <>", body[label.end() :])
+        t = _SUFFIX.search(body) if body[-1] in "#)]" else None
         if t and t.start():
-            keys.append((_hash(_KEY, "<>" + t.group()), _hash(_LINE, body[: t.start()])))
+            key("<>" + t.group(), body[: t.start()])
             style = 2
-        if _NUMBERED.match(body) and not bullet:
+        if digits and not bullet and _NUMBERED.match(body):
             style = 1
-    open_ = []
-    if 4 <= len(words) <= 12 and "#" not in body and not bullet and "\t" not in s:
-        open_ = [_hash(_OPEN, " ".join([*words[:i], "<>", *words[i + 1 :]])) for i in range(len(words))]
-    if 5 <= len(words) <= 14 and not ended and not bullet and "\t" not in s:
-        # A longer open part between a fixed start and a fixed end.
-        open_ += [_hash(_OPEN, " ".join([*words[:a], "<*>", *words[-b:]])) for a, b in ((1, 3), (2, 2), (3, 4)) if a + b + 2 <= len(words)]
-    return {
-        "line": _hash(_LINE, body), "exact": _hash(_LINE, line), "cells": [_hash(_LINE, re.sub(r"\s+", " ", c)) for c in cells] if len(cells) > 1 else [],
-        "crumb": _hash(_LINE, crumbs[0]) if len(crumbs) > 1 and not ended else 0, "keys": keys, "open": open_, "style": style, "wordy": ("#" in body and len(words) > 3) or "\t" in s, "digits": "#" in body,
-        "short": not ended and len(words) <= 16 and "\t" not in s and not bullet, "bullet": bullet, "tags": bool(_TAGS.match(s)) and not ended,
-    }
+    open_: list[int] = []
+    if not bullet and not tab:
+        if 4 <= n <= 12 and not digits:
+            open_ = [_hash(_OPEN, " ".join([*words[:i], "<>", *words[i + 1 :]])) for i in range(n)]
+        if 5 <= n <= 14 and not ended:
+            # A longer open part between a fixed start and a fixed end.
+            open_ += [_hash(_OPEN, " ".join([*words[:a], "<*>", *words[-b:]])) for a, b in ((1, 3), (2, 2), (3, 4)) if a + b + 2 <= n]
+    own = Line(
+        _hash(_LINE, body), _exact(line), tuple(_hash(_LINE, " ".join(c.split())) for c in cells) if len(cells) > 1 else (), _hash(_LINE, crumbs[0]) if len(crumbs) > 1 else 0,
+        tuple(keys), tuple(open_), style, not ended and n <= 16 and not tab and not bullet, not ended and bool(_TAGS.match(s)),
+    )
+    return own, 2 * ((digits and n > 3) or tab or bullet) + digits, rests
 
 
-_LINE_TYPE = "struct<line:bigint,exact:bigint,cells:array<bigint>,crumb:bigint,keys:array<bigint>,open:array<bigint>,style:tinyint,short:boolean,tags:boolean>"
-_ELEMENT = "struct<kind:tinyint,hash:bigint,wordy:boolean,digits:boolean>"
-_PAGE = f"item_id string, page_id string, host string, title_hash bigint, text_hash bigint, lines array<{_LINE_TYPE}>, elements array<{_ELEMENT}>, links array<struct<key:bigint,rest:bigint>>"
+_PAGE = "item_id string, page_id string, host string, title_hash bigint, text_hash bigint, lines binary, element array<bigint>, form array<tinyint>, key array<bigint>, rest array<bigint>, hashes array<bigint>"
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -105,45 +141,59 @@ def host_of(url: F.Column) -> F.Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#:@\s]+)", 1)), F.lit(""))
 
 
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for r in rows for x in r], kind))
+
+
 def pages(df: DataFrame) -> DataFrame:
     """The hashed elements of items (item_id, page_id, host, title, text), see ``_PAGE``; the text itself stays behind.
 
-    Blank lines are null in ``lines``. Items delivered twice with the same text count once.
+    ``lines`` are packed for ``judge``. Of ``element`` and ``form`` there is one
+    entry per counted element, its kind in the form; of ``key`` and ``rest`` one
+    per possible link; ``hashes`` are all that the templates may know. Items
+    delivered twice with the same text count once.
     """
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = _parse_datatype_string(_PAGE)
-    arrow = __import__("pyspark.sql.pandas.types", fromlist=["to_arrow_schema"]).to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                rows = []
-                for r in batch.slice(at, 500).to_pylist():
-                    text = r["text"] or ""
+                part = batch.slice(at, 500)
+                titles, hashes, packed = [], [], []
+                columns: list[list[list]] = [[] for _ in range(5)]
+                for title, text in zip(part.column("title").to_pylist(), part.column("text").to_pylist()):
+                    text = text or ""
                     own = [line_of(x) for x in text.split("\n")]
-                    elements: dict[tuple[int, int], tuple[bool, bool]] = {}
+                    elements: dict[int, int] = {}
                     links: set[tuple[int, int]] = set()
+                    wanted: set[int] = set()
                     for i, x in enumerate(own):
                         if x is None:
                             continue
-                        elements[_LINE, x["line"]] = (x["wordy"] or x["bullet"], x["digits"])
-                        for c in x["cells"]:
-                            elements.setdefault((_CELL, c), (x["wordy"], x["digits"]))
-                        for o in x["open"]:
-                            elements[_OPEN, o] = (False, False)
-                        if i + 1 < len(own) and own[i + 1] and own[i + 1]["style"] and x["short"]:
-                            elements[_HEAD, x["line"]] = (False, False)
-                        links.update(x["keys"])
-                    title = (r["title"] or "").strip()
-                    rows.append({
-                        "item_id": r["item_id"], "page_id": r["page_id"], "host": r["host"], "title_hash": _hash(_LINE, re.sub(r"\s+", " ", _DIGITS.sub("#", title))) if title else None, "text_hash": _hash(9, text),
-                        "lines": [None if x is None else {"line": x["line"], "exact": x["exact"], "cells": x["cells"], "crumb": x["crumb"], "keys": [k for k, _ in x["keys"]], "open": x["open"], "style": x["style"], "short": x["short"], "tags": x["tags"]} for x in own],
-                        "elements": [{"kind": k, "hash": h, "wordy": w, "digits": d} for (k, h), (w, d) in elements.items()], "links": [{"key": k, "rest": h} for k, h in links],
-                    })
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return df.select("item_id", "page_id", "host", "title", "text").mapInArrow(run, schema).dropDuplicates(["item_id", "text_hash"])
+                        line, form, rests = x
+                        elements[line.line] = _LINE * 4 + form
+                        for c in line.cells:
+                            elements.setdefault(c, _CELL * 4 + form)
+                        for o in line.open:
+                            elements[o] = _OPEN * 4
+                        if line.short and i + 1 < len(own) and own[i + 1] is not None and own[i + 1][0].style:
+                            elements[line.line ^ _HEAD_MARK] = _HEAD * 4
+                        links.update(zip(line.keys, rests))
+                        wanted.update(line.cells, line.keys, line.open, (line.line, line.crumb))
+                    title = " ".join(_DIGITS.sub("#", title or "").split())
+                    titles.append(_hash(_LINE, title) if title else None)
+                    hashes.append(_exact(text))
+                    packed.append(marshal.dumps([None if x is None else tuple(x[0]) for x in own]))
+                    wanted.discard(0)
+                    for c, v in zip(columns, (elements, elements.values(), [k for k, _ in links], [r for _, r in links], wanted)):
+                        c.append(list(v))
+                kinds = (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("item_id", "page_id", "host")), pa.array(titles, pa.int64()), pa.array(hashes, pa.int64()), pa.array(packed, pa.binary()), *(_lists(c, k) for c, k in zip(columns, kinds))],
+                    names=[x.split()[0] for x in _PAGE.split(", ")],
+                )
+
+    return df.select("item_id", "page_id", "host", "title", "text").mapInArrow(run, _PAGE).dropDuplicates(["item_id", "text_hash"])
 
 
 def templates(own: DataFrame) -> DataFrame:
@@ -155,7 +205,12 @@ def templates(own: DataFrame) -> DataFrame:
     """
     titles = own.filter("title_hash is not null").select(F.col("title_hash").alias("hash")).distinct()
     sizes = own.groupBy("host").agg(F.count("*").alias("_pages"))
-    e = own.select("host", F.explode("elements").alias("e")).select("host", "e.*")
+    e = own.select("host", F.explode(F.arrays_zip("element", "form")).alias("e"))
+    form = F.col("e.form")
+    kind = F.shiftright(form.cast("int"), 2)
+    # Heads carry a mark, so that a line and the same line as a head are two elements.
+    bare = F.when(kind == _HEAD, F.col("e.element").bitwiseXOR(F.lit(_HEAD_MARK))).otherwise(F.col("e.element"))
+    e = e.select("host", kind.alias("kind"), bare.alias("hash"), (form.bitwiseAND(2) > 0).alias("wordy"), (form.bitwiseAND(1) > 0).alias("digits"))
     counts = e.groupBy("host", "kind", "hash").agg(F.count("*").alias("n"), F.bool_or("wordy").alias("wordy"), F.bool_or("digits").alias("digits"))
     counts = counts.filter(F.col("n") >= 2)
     by_host = counts.join(sizes, counts.host.eqNullSafe(sizes.host)).drop(sizes.host)
@@ -171,7 +226,7 @@ def templates(own: DataFrame) -> DataFrame:
     lines = pooled.filter(F.col("kind") == _LINE).select("hash", F.col("n").alias("_all"))
     heads = pooled.filter(F.col("kind") == _HEAD).select("hash", "n").join(lines, "hash").filter(F.col("n") >= 0.2 * F.col("_all")).join(recurring, "hash", "left_semi").select("hash")
     # A link's fixed part stands around titles of pages.
-    links = own.select(F.explode("links").alias("l")).select("l.key", F.col("l.rest").alias("hash"))
+    links = own.select(F.explode(F.arrays_zip("key", "rest")).alias("l")).select("l.key", F.col("l.rest").alias("hash"))
     known = links.groupBy("key", "hash").agg(F.count("*").alias("n")).join(titles.withColumn("_t", F.lit(1)), "hash", "left")
     keys = known.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("_t", F.lit(0))).alias("t"))
     keys = keys.crossJoin(F.broadcast(total)).filter((F.col("t") >= 0.25 * F.col("n")) & (F.col("t") >= F.greatest(F.lit(LEAST_PAGES), 0.002 * F.col("_total")))).select(F.col("key").alias("hash"))
@@ -183,40 +238,40 @@ def templates(own: DataFrame) -> DataFrame:
     return out.groupBy("hash").agg(F.sum("class").cast("int").alias("class"))
 
 
-def judge(lines: list[dict | None], own_title: int | None, known: dict[int, int]) -> list[bool]:
-    """Of each line whether it is not body, by the classes of its elements and its neighbours."""
+def judge(lines: list[tuple | None], own_title: int | None, known: dict[int, int]) -> list[bool]:
+    """Of each line (a ``Line``) whether it is not body, by the classes of its elements and its neighbours."""
 
     def of(h: int, c: int) -> bool:
         return bool(known.get(h, 0) & c)
 
     n = len(lines)
+    own = [None if x is None else Line(*x) for x in lines]
     out = [False] * n
-    for i, x in enumerate(lines):
+    for i, x in enumerate(own):
         if x is None:
             continue
-        cells = x["cells"]
         out[i] = (
-            of(x["line"], TEMPLATE)
-            or x["tags"]
-            or (bool(cells) and all(of(c, TEMPLATE) for c in cells))
-            or (x["crumb"] != 0 and of(x["crumb"], TEMPLATE))
-            or (not of(x["line"], TITLE) and any(of(o, OPEN) for o in x["open"]))
-            or (x["short"] and any(of(k, LINK_KEY) for k in x["keys"]) and not (own_title == x["line"]))
+            of(x.line, TEMPLATE)
+            or x.tags
+            or (bool(x.cells) and all(of(c, TEMPLATE) for c in x.cells))
+            or (x.crumb != 0 and of(x.crumb, TEMPLATE))
+            or (not of(x.line, TITLE) and any(of(o, OPEN) for o in x.open))
+            or (x.short and own_title != x.line and any(of(k, LINK_KEY) for k in x.keys))
         )
     # Lists under a list heading.
     i = 0
     while i < n:
-        if lines[i] is None or not of(lines[i]["line"], LIST_HEAD):
+        if own[i] is None or not of(own[i].line, LIST_HEAD):
             i += 1
             continue
         j = i + 1
-        if j < n and lines[j] is not None:
-            style = lines[j]["style"]
-            while j < n and lines[j] is not None and lines[j]["short"] and lines[j]["style"] == style and (style or not out[j]):
-                if not style and lines[j]["line"] == own_title:
+        if j < n and own[j] is not None:
+            style = own[j].style
+            while j < n and own[j] is not None and own[j].short and own[j].style == style and (style or not out[j]):
+                if not style and own[j].line == own_title:
                     break
                 j += 1
-            if not style and j < n and lines[j] is not None and not out[j] and j - i - 1 > BARE_LINKS:
+            if not style and j < n and own[j] is not None and not out[j] and j - i - 1 > BARE_LINKS:
                 j = i + 1 + BARE_LINKS
             for k in range(i + 1, j):
                 out[k] = True
@@ -225,31 +280,31 @@ def judge(lines: list[dict | None], own_title: int | None, known: dict[int, int]
 
 
 def judged(own: DataFrame, known: DataFrame) -> DataFrame:
-    """(item_id, page_id, verdicts array<struct<line_no, exact, out>>) of the non-blank lines of each item.
+    """(item_id, page_id, line_no, exact, out) of the non-blank lines of each item.
 
     The hashes of an item meet the templates in a join on the hash, not in a
-    broadcast: the templates of all hosts grow with the corpus.
+    broadcast of a set that grows with the corpus.
     """
-    line = F.explode(F.filter("lines", lambda x: x.isNotNull())).alias("l")
-    hashes = own.select("item_id", "text_hash", line)
-    hashes = hashes.select("item_id", "text_hash", F.explode(F.concat(F.array("l.line", "l.crumb"), "l.cells", "l.keys", "l.open")).alias("hash")).filter("hash <> 0").distinct()
-    met = hashes.join(known, "hash").groupBy("item_id", "text_hash").agg(F.collect_list(F.struct("hash", "class")).alias("_known"))
-    schema = "item_id string, page_id string, verdicts array<struct<line_no:int,exact:bigint,out:boolean>>"
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = __import__("pyspark.sql.pandas.types", fromlist=["to_arrow_schema"]).to_arrow_schema(_parse_datatype_string(schema))
+    met = own.select("item_id", "text_hash", F.explode("hashes").alias("hash")).join(known, "hash").groupBy("item_id", "text_hash").agg(F.collect_list("hash").alias("_hash"), F.collect_list("class").alias("_class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                rows = []
-                for r in batch.slice(at, 500).to_pylist():
-                    found = judge(r["lines"], r["title_hash"], {x["hash"]: x["class"] for x in r["_known"] or []})
-                    rows.append({"item_id": r["item_id"], "page_id": r["page_id"], "verdicts": [{"line_no": i, "exact": x["exact"], "out": o} for i, (x, o) in enumerate(zip(r["lines"], found)) if x is not None]})
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                part = batch.slice(at, 500)
+                take, no, exact, out = [], [], [], []
+                for r, (title, lines, h, c) in enumerate(zip(*(part.column(x).to_pylist() for x in ("title_hash", "lines", "_hash", "_class")))):
+                    own_lines = marshal.loads(lines)
+                    for i, (x, o) in enumerate(zip(own_lines, judge(own_lines, title, dict(zip(h or [], c or []))))):
+                        if x is not None:
+                            take.append(r)
+                            no.append(i)
+                            exact.append(x[1])
+                            out.append(o)
+                index = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("item_id").take(index), part.column("page_id").take(index), pa.array(no, pa.int32()), pa.array(exact, pa.int64()), pa.array(out, pa.bool_())], names=["item_id", "page_id", "line_no", "exact", "out"])
 
     both = own.select("item_id", "text_hash", "page_id", "title_hash", "lines").join(met, ["item_id", "text_hash"], "left")
-    return both.select("item_id", "page_id", "title_hash", "lines", "_known").mapInArrow(run, schema)
+    return both.select("item_id", "page_id", "title_hash", "lines", "_hash", "_class").mapInArrow(run, "item_id string, page_id string, line_no int, exact bigint, out boolean")
 
 
 def not_body(source_docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
@@ -257,20 +312,25 @@ def not_body(source_docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
 
     Templates are counted over the pages. A chunk's lines are lines of its
     page and are judged there, in their context; a line text that a page has
-    several times is out if most of its places are. A chunk whose page isn't
-    there, or whose line its page doesn't have, is judged by itself. Null and
+    several times is out if most of its places are. A chunk with a line that
+    its page doesn't have, or without its page, is judged by itself. Null and
     empty texts have no lines; a row delivered twice counts once.
     """
     docs = source_docs.select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("page_id"), host_of(F.col("url")).alias("host"), "title", "text")
     own = cut(pages(docs))
     known = cut(templates(own))
-    of_pages = cut(judged(own, known))
-    page_lines = of_pages.select("page_id", F.explode("verdicts").alias("v")).groupBy("page_id", F.col("v.exact").alias("exact")).agg((F.avg(F.col("v.out").cast("int")) >= 0.5).alias("page_out"))
+    of_pages = cut(judged(own, known).select("item_id", "line_no", "exact", "out"))
+    verdicts = of_pages.groupBy(F.col("item_id").alias("page_id"), "exact").agg((F.avg(F.col("out").cast("int")) >= 0.5).alias("out"))
     chunks = chunk_rows.select(F.col("chunk_id").alias("item_id"), F.col("doc_id").alias("page_id"), host_of(F.col("url")).alias("host"), "title", "text")
-    of_chunks = judged(pages(chunks), known).select("item_id", "page_id", F.explode("verdicts").alias("v")).select("item_id", "page_id", "v.*")
-    both = of_chunks.join(page_lines, ["page_id", "exact"], "left").filter(F.coalesce("page_out", "out"))
-    first = of_pages.select("item_id", F.explode("verdicts").alias("v")).filter("v.out").select("item_id", "v.line_no")
-    return first.unionByName(both.select("item_id", "line_no")).distinct()
+    lines = chunks.select("item_id", "page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "_x")).filter(F.col("_x").rlike(r"(?U)\S"))
+    lines = lines.select("item_id", "page_id", "line_no", F.xxhash64("_x").alias("exact")).join(verdicts, ["page_id", "exact"], "left")
+    lines = cut(lines.select("item_id", "line_no", "out").filter("out is null or out"))
+    first = of_pages.filter("out").select("item_id", "line_no").unionByName(lines.filter("out").select("item_id", "line_no"))
+    alone = lines.filter("out is null").select("item_id").distinct()
+    if not alone.isEmpty():
+        by_self = judged(pages(chunks.join(alone, "item_id", "left_semi")), known).filter("out").select("item_id", "line_no")
+        first = first.join(alone, "item_id", "left_anti").unionByName(by_self)
+    return first.distinct()
 
 
 def bodies(df: DataFrame, key: str, found: DataFrame, text: str = "text") -> DataFrame:
