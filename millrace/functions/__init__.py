@@ -1 +1 @@
-"""Part of millrace, see README.md."""
+"""Column functions: everything here is a Catalyst expression, none a Python function at run time."""

@@ -31,3 +31,11 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that have one."""
     return dict(_SQL)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: chunks, deduplication and the summary of the corpus."""
+    return _QUERIES["agg13_corpus_summary"](spark, sf_dir)
+
+
+from . import corpus, evidence, logs, records, search  # noqa: E402, F401  (their queries register themselves)
