@@ -43,8 +43,8 @@ _LINE, _CELL, _OPEN, _HEAD, _KEY = range(5)
 _HEAD_MARK = 0x5DEECE66D
 
 _DIGITS = re.compile(r"\d+")
-_CELLS = re.compile(r"\s*[|•·]\s+|[^\S\t]{2,}|(?<=[.!?。])\s+")
-_CRUMBS = re.compile(r"\s+[/>»›→]\s+")
+_CELLS = re.compile(r"\s?[|•·]\s+|[^\S\t]{2,}|(?<=[.!?。])\s+")
+_CRUMBS = re.compile(r"\s[/>»›→]\s+")
 _BULLET = re.compile(r"(?:[-*•·▪◦‣]|\d+[.)])\s+")
 _ENDED = re.compile(r"[.!?。！？…][\"'”’»」』)\]]*(?:\s|\Z)|[다요]\.")
 _TAGS = re.compile(r"(?:#[^\s#]+\s*)+\Z|(?:태그|키워드|Tags?|Keywords?|タグ|标签)\s*[:：]", re.I)

@@ -45,7 +45,6 @@ NO_ANSWER = re.compile(r"답이 없|답(?:변)? ?없음|내용 없음|근거 없
 _LANGS = {"ko": r"한국어|한글|국문|Korean|韓国語|韩语|韩文", "en": r"영어|영문|English|英語|英语|英文", "ja": r"일본어|일어|Japanese|日本語|日语|日文", "zh": r"중국어|중문|Chinese|中国語|中文|汉语"}
 ASKED = {k: re.compile(rf"(?:{v})(?:로|으로|で|にて)|\bin (?:{v})\b|(?:用|以|请用)(?:{v})|(?:{v})(?:回答|作答)", re.I) for k, v in _LANGS.items()}
 
-_CJK = re.compile(r"[ぁ-ヿ㐀-鿿]")
 _TOKEN = re.compile(r"[ぁ-ヿ㐀-鿿]|[^\sぁ-ヿ㐀-鿿]+|\n")
 _END = re.compile(r"[.!?…。！？؟।][\"'”’»」』)\]）】]*\Z|[)\]）】」』”\"]\Z")
 _KO_END = re.compile(r"(?:다|요|죠|까|네요|니다|세요|음|함|임|됨)\Z")
@@ -70,7 +69,8 @@ def visible(s: str | None) -> str:
 def language(s: str) -> str:
     """ko, ja, zh or en by the scripts of a text; '' where there are too few letters to tell."""
     s = re.sub(r"[“\"「『(（<][^”\"」』)）>]{0,80}[”\"」』)）>]", " ", s)
-    s = re.sub(r"[\w.+-]*[@=][\w.+@\[\]()-]*|\S*\d\S*\.\S*|[A-Za-z]*\d+[A-Za-z\d.-]*", " ", s)
+    # Addresses, numbers, versions and file names are of no language; words are judged one by one, so that long ones cost no more.
+    s = " ".join(w for w in s.split() if not ("@" in w or "=" in w or ("." in w[:-1] and any(x.isdigit() for x in w) and w.isascii())))
     h, k, c, a = (len(re.findall(p, s)) for p in ("[가-힣ㄱ-ㆎ]", "[ぁ-ヿ]", "[㐀-鿿]", "[A-Za-zÀ-ÿ]"))
     if 3 * (h + k + c) + a < 4:
         return ""
@@ -170,7 +170,7 @@ def votes(question: str | None, answer: str | None, truth: str | None, ends: lis
     dangling = end[-1] in ",:;、，：；(（[「『“-–—" or bool(re.search(r"(?:^|\n)\s*(?:\d+[.)]|[-*•·・])\s*\Z", end))
     pt = plain(t)
     prefix = 1 if t and len(letters) >= 3 and pt.startswith(letters) and len(letters) < len(pt) and not closed else -1 if t and letters == pt else 0
-    value = bool(_VALUE_END.search(line)) and (bool(re.search(r"[=:/<+@]|\d{3}", line[-40:])) or len(end) < 12)
+    value = bool(_VALUE_END.search(line[-160:])) and (bool(re.search(r"[=:/<+@]|\d{3}", line[-40:])) or len(end) < 12)
     item = bool(_LIST_ITEM.match(line))
     known = [(n, e) for n, e in ends or [] if n]
     longest = next(((n, e) for n, e in reversed(known) if n >= 4), (0, 0))

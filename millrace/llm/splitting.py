@@ -46,7 +46,7 @@ class Limit:
 def normalise(text: str) -> str:
     """NFKC, line ends to ``\\n``, trailing white space of lines off, at most one blank line, ends trimmed."""
     text = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n")
-    text = re.sub(r"[^\S\n]+(?=\n|\Z)", "", text)
+    text = "\n".join(line.rstrip() for line in text.split("\n"))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
