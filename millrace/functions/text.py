@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ ABSTAINS_MORE = ["확인되지 않", "찾을 수 없", "포함되어 있지 않"
 SHORT_TRUTH, CONTAINED, LONG_TRUTH, VERBOSE, STRIDE_PARTS = 10, 0.9, 30, 1.3, 8
 
 
+def let(value: Column, body: "Callable[[Column], Column]") -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` and its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """The lexical tokens of a text in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKENS})"), F.lit(1))

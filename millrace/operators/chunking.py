@@ -15,8 +15,8 @@ from ..functions import text as T
 #: White space that slices lose at their ends in the native operators.
 BLANKS = " \t\n\r"
 # Where the greedy chunkers cut, the better place first.
-SEPARATORS = ["\n\n", "\n", ". ", "? ", "! ", " "]
-SENTENCE_SEPARATORS = ["\n\n", ".\n", "?\n", "!\n", ". ", "? ", "! ", "。", "？", "！", "\n", " "]
+SEPARATORS = ["\n\n", "\n", ". ", "。", "? ", "! ", " "]
+SENTENCE_SEPARATORS = [". ", ".\n", "。", "? ", "?\n", "! ", "!\n", "…", "\n\n", "\n", " "]
 
 
 def check_config(size: int, overlap: int) -> None:
@@ -56,22 +56,27 @@ def seal(df: DataFrame, parent: list[str], order: str, start: str = "raw_start",
     return df.withColumn("_s", first).withColumn("_e", last).withColumn(start, F.col("_s")).withColumn(end, F.col("_e")).drop("_s", "_e")
 
 
-def _greedy(text: str, size: int, overlap: int, separators: list[str]) -> Iterator[tuple[int, int]]:
+#: A piece: section, start, end, and whether it is taken as it is, without trimming.
+Piece = tuple[str | None, int, int, bool]
+
+
+def _greedy(text: str, size: int, overlap: int, separators: list[str], section: str | None = None, base: int = 0) -> Iterator[Piece]:
+    """Windows that end at the last of the best separator in their second half; a text within the size is one piece as it is."""
     n, at = len(text), 0
+    if 0 < n <= size:
+        yield section, base, base + n, True
+        return
     while at < n:
         end = min(at + size, n)
         if end < n:
-            half = at + size // 2
-            for s in separators:
-                k = text.rfind(s, half, end)
-                if k > at:
-                    end = k + len(s)
-                    break
-        yield at, end
+            least = at + max(1, (end - at) // 2)
+            places = ((text.rfind(s, least, end), s) for s in separators)
+            end = next((k + len(s) for k, s in places if k >= least), end)
+        yield section, base + at, base + end, False
         if end >= n:
             return
         at = max(at + 1, end - overlap)
-        while at < n and text[at].isspace():
+        while at < end and text[at].isspace():
             at += 1
 
 
@@ -92,24 +97,24 @@ def sections(text: str) -> list[tuple[str | None, int, int]]:
     return out
 
 
-Strategy = Callable[[str, int, int], Iterator[tuple[str | None, int, int]]]
+Strategy = Callable[[str, int, int], Iterator[Piece]]
 
 
-def _recursive(text: str, size: int, overlap: int) -> Iterator[tuple[str | None, int, int]]:
-    return ((None, a, b) for a, b in _greedy(text, size, overlap, SEPARATORS))
+def _recursive(text: str, size: int, overlap: int) -> Iterator[Piece]:
+    return _greedy(text, size, overlap, SEPARATORS)
 
 
-def _recursive_sentence(text: str, size: int, overlap: int) -> Iterator[tuple[str | None, int, int]]:
-    return ((None, a, b) for a, b in _greedy(text, size, overlap, SENTENCE_SEPARATORS))
+def _recursive_sentence(text: str, size: int, overlap: int) -> Iterator[Piece]:
+    return _greedy(text, size, overlap, SENTENCE_SEPARATORS)
 
 
-def _markdown(text: str, size: int, overlap: int) -> Iterator[tuple[str | None, int, int]]:
-    return iter(sections(text))
+def _markdown(text: str, size: int, overlap: int) -> Iterator[Piece]:
+    return ((*s, False) for s in sections(text))
 
 
-def _markdown_recursive(text: str, size: int, overlap: int) -> Iterator[tuple[str | None, int, int]]:
+def _markdown_recursive(text: str, size: int, overlap: int) -> Iterator[Piece]:
     for name, a, b in sections(text):
-        yield from ((name, a + x, a + y) for x, y in _greedy(text[a:b], size, overlap, SEPARATORS))
+        yield from _greedy(text[a:b], size, overlap, SEPARATORS, name, a)
 
 
 #: Chunking strategies by name; more are added by ``register``.
@@ -119,7 +124,7 @@ ALIASES = {"1": "fixed", "2": "recursive", "3": "markdown_recursive"}
 
 
 def register(name: str, strategy: Strategy) -> None:
-    """Add a strategy: a function of (text, size, overlap) that yields (section, start, end)."""
+    """Add a strategy: a function of (text, size, overlap) that yields (section, start, end, as it is)."""
     STRATEGIES[name] = strategy
 
 
@@ -141,11 +146,11 @@ def chunk(df: DataFrame, key: str, text: str, strategy: str, size: int = 512, ov
             take, rows = [], []
             for i, t in enumerate(batch.column(text).to_pylist()):
                 no = 0
-                for section, a, b in cut(t or "", size, overlap):
+                for section, a, b, whole in cut(t or "", size, overlap):
                     piece = (t or "")[a:b]
-                    body = piece.strip()
-                    if body:
-                        s = a + len(piece) - len(piece.lstrip())
+                    body = piece if whole else piece.strip()
+                    if body.strip():
+                        s = a if whole else a + len(piece) - len(piece.lstrip())
                         rows.append((no, section, a, b, s, s + len(body), body))
                         take.append(i)
                         no += 1

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.text import let
+
 
 def faithfulness(verdicts: DataFrame, key: str) -> DataFrame:
     """(key, faithfulness): the share of true verdicts."""
@@ -28,8 +30,21 @@ def correctness(tp: Column, fp: Column, fn: Column, cosine: Column) -> Column:
     return F.when(factual.isNull(), near).when(near.isNull(), factual).otherwise(0.75 * factual + 0.25 * near)
 
 
+def trigrams(text: Column) -> Column:
+    """Distinct character triples without white space; a shorter text is its own one, a blank text has none."""
+
+    def of(t: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+        return F.filter(F.array_distinct(own), lambda g: g != "")
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\n\r]+", ""), of)
+
+
 def trigram_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard of distinct character triples."""
-    grams = lambda t: F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))), lambda g: F.length(g) == 3))
-    x, y = grams(a), grams(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    """Jaccard of distinct character triples; 0 where a text has none."""
+
+    def of(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    return let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), of)

@@ -11,7 +11,9 @@ from pyspark.sql import window as W
 # Fixed values.
 #: Floors of metrics, least composite of the gate, and its least recall.
 GATE_SCORE, GATE_RECALL, MIN_DELTA = 90, 0.6, 0.02
-FLOORS = {"faithfulness": 0.7, "context_recall": 0.7, "context_precision": 0.5}
+FLOORS = {"faithfulness": 0.5, "answer_relevancy": 0.5, "context_recall": 0.45, "context_precision": 0.45, "context_utilization": 0.4}
+#: A metric that must stay under its bound.
+CEILINGS = {"noise_sensitivity": 0.6}
 MARGIN, MARGIN_PROBES = 0.2, 2
 TIER = {"A": 0, "C": 1, "B": 2, "D": 3}
 #: (label, order, action, path, direction, re-indexes): the executable prescriptions.
@@ -75,11 +77,12 @@ def _tier(group: Column) -> Column:
 def choose(ranked: DataFrame) -> DataFrame:
     """Each path's winner, or ``deferred`` where the runner-up is too near, ranked by tier, score, cost and name.
 
-    Actions of one path oppose each other; the best must lead by 20 % and two probes.
+    Actions of one path oppose each other. A better tier wins; within one the
+    best must lead by 20 % of its score and by two probes.
     """
-    w = W.Window.partitionBy("path").orderBy("tier", F.desc("score"), "cost", "action", "value")
+    w = W.Window.partitionBy("path").orderBy("tier", F.desc("score"), "action", "value")
     r = ranked.withColumn("_r", F.row_number().over(w)).withColumn("_s", F.lead("score").over(w)).withColumn("_p", F.lead("probes").over(w)).withColumn("_t", F.lead("tier").over(w)).filter("_r = 1")
-    close = F.col("_s").isNotNull() & (F.col("_t") == F.col("tier")) & ((F.col("score") < F.col("_s") * (1 + MARGIN)) | (F.col("probes") - F.col("_p") < MARGIN_PROBES))
+    close = F.col("_s").isNotNull() & (F.col("_t") == F.col("tier")) & ((F.col("score") <= 0) | (F.col("score") - F.col("_s") < MARGIN * F.col("score")) | (F.col("probes") - F.col("_p") < MARGIN_PROBES))
     r = r.withColumn("state", F.when(close, "deferred").otherwise("eligible"))
     place = F.row_number().over(W.Window.orderBy(F.col("state") != "eligible", "tier", F.desc("score"), "cost", "action"))  # one row per path
     return r.withColumn("place", place).select("place", "action", "path", "value", "state", "tier", "score", "probes", "labels")
@@ -90,12 +93,17 @@ def gate(composite: Column, recall: Column, passed: Column) -> Column:
     return F.coalesce(composite >= GATE_SCORE, passed, F.lit(False)) & F.coalesce(recall >= GATE_RECALL, F.lit(True))
 
 
-def verdict(before: Column, after: Column, floors: dict[str, tuple[Column, Column]]) -> Column:
-    """Keep or roll back a trial: no floor newly broken, then an improvement of at least 0.02."""
+def verdict(before: Column, after: Column, metrics: dict[str, Column]) -> Column:
+    """Keep or roll back a trial: no metric of it beyond its floor, then an improvement of at least 0.02.
+
+    Metrics that aren't measured break nothing; without both scores there is no judgement.
+    """
     broken = F.lit(False)
-    for name, (was, now) in floors.items():
-        broken = broken | F.coalesce((now < FLOORS[name]) & F.coalesce(was >= FLOORS[name], F.lit(True)), F.lit(False))
-    better = (after - before >= MIN_DELTA) | (F.abs(after - before - MIN_DELTA) <= 1e-9)
+    for name, now in metrics.items():
+        bad = now < FLOORS[name] if name in FLOORS else now > CEILINGS[name] if name in CEILINGS else F.lit(False)
+        broken = broken | F.coalesce(bad, F.lit(False))
+    gain = after - before
+    better = (gain > 0) & ((gain > MIN_DELTA) | (F.abs(gain - MIN_DELTA) <= 1e-12))
     return F.when(before.isNull() | after.isNull(), "unjudgeable").when(broken, "rollback").when(better, "keep").otherwise("rollback")
 
 

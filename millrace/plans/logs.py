@@ -86,9 +86,13 @@ WHEN w.best IS NOT NULL THEN greatest(2.0 * same / (np + nr), w.best) WHEN same
 def met06_answer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact match, character F1, recall and the mended match of every answer with its truth."""
     d = logs(spark, sf_dir).filter("truth is not null")
-    d = d.select("log_id", (T.normal_answer(F.col("answer")) == T.normal_answer(F.col("truth"))).alias("exact"), T.answer_chars(F.col("answer")).alias("p"), T.answer_chars(F.col("truth")).alias("r"))
-    p, r = F.col("p"), F.col("r")
-    return d.select("log_id", "exact", F.round(T.char_f1(p, r), 6).alias("f1"), F.round(T.char_recall(p, r), 6).alias("recall"), F.round(T.answer_match(p, r), 6).alias("match"))
+    both = F.struct(T.normal_answer(F.col("answer")).alias("a"), T.normal_answer(F.col("truth")).alias("t"), T.answer_chars(F.col("answer")).alias("p"), T.answer_chars(F.col("truth")).alias("r"))
+
+    def scores(s: F.Column) -> F.Column:
+        p, r = s["p"], s["r"]
+        return F.struct((s["a"] == s["t"]).alias("exact"), F.round(T.char_f1(p, r), 6).alias("f1"), F.round(T.char_recall(p, r), 6).alias("recall"), F.round(T.answer_match(p, r), 6).alias("match"))
+
+    return d.select("log_id", T.let(both, scores).alias("s")).select("log_id", "s.*")
 
 
 _ABSTAIN_SQL = "(" + " OR ".join("contains(lower(answer), '" + m.replace("'", "''") + "')" for m in T.ABSTAINS + T.ABSTAINS_MORE) + ")"

@@ -82,7 +82,8 @@ def met25_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT DISTINCT doc_id, draft_no, text FROM chunk_drafts WHERE doc_id IS NOT NULL AND length(text) >= 3), p AS (SELECT a.doc_id, a.draft_no, a.text AS x, b.text AS y FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.draft_no = a.draft_no + 1),
-g AS (SELECT doc_id, draft_no, list_distinct(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3))) AS gx, list_distinct(list_transform(range(1, length(y) - 1), lambda i: substring(y, i, 3))) AS gy FROM p)
+b AS (SELECT doc_id, draft_no, regexp_replace(x, '[ \\t\\n\\r]+', '', 'g') AS x, regexp_replace(y, '[ \\t\\n\\r]+', '', 'g') AS y FROM p),
+g AS (SELECT doc_id, draft_no, list_distinct(list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substring(x, i, 3))) AS gx, list_distinct(list_transform(range(1, greatest(length(y) - 2, 1) + 1), lambda i: substring(y, i, 3))) AS gy FROM b)
 SELECT doc_id, draft_no, round(len(list_intersect(gx, gy)) / CAST(len(list_distinct(list_concat(gx, gy))) AS DOUBLE), 6) AS similarity FROM g""")
 def met21_neighbour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character-triple Jaccard of neighbouring drafts."""

@@ -146,8 +146,8 @@ def opt06_action_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("action", "path", "value", "probes", "tier", "cost", F.round("score", 6).alias("score"), F.array_join("labels", ",").alias("labels"))
 
 
-@query("WITH" + _ACT + """, rk AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS s2, lead(probes) OVER w AS p2, lead(tier) OVER w AS t2 FROM ac WINDOW w AS (PARTITION BY path ORDER BY tier, score DESC, cost, action, value)),
-b2 AS (SELECT *, CASE WHEN s2 IS NOT NULL AND t2 = tier AND (score < s2 * 1.2 OR probes - p2 < 2) THEN 'deferred' ELSE 'eligible' END AS state FROM rk WHERE r = 1)
+@query("WITH" + _ACT + """, rk AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS s2, lead(probes) OVER w AS p2, lead(tier) OVER w AS t2 FROM ac WINDOW w AS (PARTITION BY path ORDER BY tier, score DESC, action, value)),
+b2 AS (SELECT *, CASE WHEN s2 IS NOT NULL AND t2 = tier AND (score <= 0 OR score - s2 < 0.2 * score OR probes - p2 < 2) THEN 'deferred' ELSE 'eligible' END AS state FROM rk WHERE r = 1)
 SELECT row_number() OVER (ORDER BY state <> 'eligible', tier, score DESC, cost, action) AS place, action, path, value, state, tier, round(score, 6) AS score, probes FROM b2""")
 def opt11_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One action per path, deferred where the next is too near, in the order of choice."""
@@ -162,14 +162,14 @@ def opt13_rank_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
-SELECT event_id, CASE WHEN before IS NULL THEN 'unjudgeable' WHEN value < 0.5 AND before >= 0.5 THEN 'rollback' WHEN value - before >= 0.02 OR abs(value - before - 0.02) <= 1e-9 THEN 'keep' ELSE 'rollback' END AS verdict, round(value - before, 6) AS delta FROM e""")
+SELECT event_id, CASE WHEN before IS NULL THEN 'unjudgeable' WHEN value < 0.45 THEN 'rollback' WHEN value - before > 0 AND (value - before > 0.02 OR abs(value - before - 0.02) <= 1e-12) THEN 'keep' ELSE 'rollback' END AS verdict, round(value - before, 6) AS delta FROM e""")
 def opt21_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials judged against the one before: a floor, then an improvement (events stand for trials)."""
     from pyspark.sql import window as W
 
     w = W.Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, sf_dir, "events").select("event_id", "value", F.lag("value").over(w).alias("before"))
-    v = optimize.verdict(F.col("before"), F.col("value"), {"context_precision": (F.col("before"), F.col("value"))})
+    v = optimize.verdict(F.col("before"), F.col("value"), {"context_precision": F.col("value")})
     return e.select("event_id", v.alias("verdict"), F.round(F.col("value") - F.col("before"), 6).alias("delta"))
 
 

@@ -157,7 +157,7 @@ g AS (SELECT DISTINCT least(node, other) AS src, greatest(node, other) AS dst, w
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "kg_nodes").filter("text is not null and doc_id is not null").select("chunk_id", "text").distinct()
     t = nodes.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("term")).filter(F.length("term") >= 2).groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
-    kw = t.withColumn("place", F.row_number().over(W.Window.partitionBy("chunk_id").orderBy(F.desc("n"), "term"))).filter("place <= 8").select("chunk_id", "term")
+    kw = t.withColumn("place", F.row_number().over(W.Window.partitionBy("chunk_id").orderBy(F.desc("n"), "term"))).filter("place <= 8").select("chunk_id", F.xxhash64("term").alias("term"))
     # Two nodes of the required similarity share one of the rarest keywords of either, so only these are indexed.
     df = kw.groupBy("term").agg(F.count("*").alias("df"))
     own = kw.join(df, "term").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("k"))
