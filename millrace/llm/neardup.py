@@ -314,11 +314,15 @@ def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int =
     few = shared.filter(F.col("n") <= HOT).groupBy("key").agg(F.array_sort(F.collect_set("set_id")).alias("ids"))
     few = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(HOT))).alias("b"), F.lit(False).alias("hot"))
     star = shared.filter((F.col("n") > HOT) & (F.col("set_id") != F.col("first"))).select(F.col("first").alias("a"), F.col("set_id").alias("b"), F.lit(True).alias("hot"))
-    met = cut(few.unionByName(star).groupBy("a", "b").agg(F.max("hot").alias("hot")))
+    met = few.unionByName(star).groupBy("a", "b").agg(F.max("hot").alias("hot"))
+    # Members of hot variants are kept beside the candidates (no hot mark), so that they needn't be indexed again.
+    own = shared.filter(F.col("n") > HOT).select(F.col("key").alias("a"), F.col("set_id").alias("b"), F.lit(None).cast("boolean").alias("hot")).distinct()
+    both = cut(met.unionByName(own))
+    met = both.filter("hot is not null")
     links = cut(verified(met.select("a", "b"), df, sets, least, words))
     groups = components(links)
     if not met.filter("hot").isEmpty():
-        hot = shared.filter(F.col("n") > HOT).select("key", "set_id").distinct()
+        hot = both.filter("hot is null").select(F.col("a").alias("key"), F.col("b").alias("set_id"))
         # Members of hot variants that lie in different groups meet, group against group.
         own = hot.join(groups, hot.set_id == groups.node, "left").select("key", "set_id", F.coalesce("group", "set_id").alias("g"))
         mixed = own.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("key")
