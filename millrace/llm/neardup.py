@@ -18,7 +18,9 @@ Exact copies (equal sets of triples) are one representative from the start.
 Variants that many representatives share don't produce all their pairs: their
 members are compared with the first member, and only what then still lies in
 different groups is compared further, so a hot group costs a number of
-comparisons in proportion to its size, and no link between groups is lost.
+comparisons in proportion to its size, and no link between groups is lost. Only
+where each record's links are counted do all members of a group that share a
+hot variant meet, in blocks.
 """
 
 from __future__ import annotations
@@ -295,14 +297,92 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("group").alias("node"), "group").distinct())
 
 
-def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
+#: Most members of a block, and most shingles on average, of a group whose members all meet.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+#: Shingles or variants that are multiplied at once.
+WIDE = 1 << 12
+
+
+def _shared(values: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each set of ``a`` shares with each of ``b``; the sets have no value twice."""
+    size = np.array([len(v) for v in values])
+    kind, code, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(values)), size)
+    kept = times[code] > 1
+    row, code = row[kept], (np.cumsum(times > 1) - 1)[code[kept]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int((times > 1).sum()), WIDE):
+        x, y = np.searchsorted(code, [at, at + WIDE])
+        has = np.zeros((len(values), WIDE), np.float32)
+        has[row[x:y], code[x:y] - at] = 1
+        out += has[a] @ has[b].T
+    return np.rint(out).astype(np.int64)
+
+
+def linked(block: np.ndarray, i: int, j: int, keys: list[np.ndarray], drawn: np.ndarray, hashed: list[np.ndarray], least: float) -> np.ndarray:
+    """How many rows of the other of blocks i and j (of its own, if i = j) each row shares a variant and at least ``least`` of all shingles with."""
+    out = np.zeros(len(block), np.int64)
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(a) or not len(b):
+        return out
+    met = _shared(keys, a, b) > 0
+    if i == j:
+        met = np.triu(met, 1)
+    x, y = np.nonzero(met)
+    enough, near = agreeing(least), np.zeros(len(x), bool)
+    for k in range(0, len(x), 1 << 15):
+        z = drawn[a[x[k : k + (1 << 15)]]] ^ drawn[b[y[k : k + (1 << 15)]]]
+        near[k : k + (1 << 15)] = ((z & 15) == 0).sum(axis=1) + ((z >> 4) == 0).sum(axis=1) >= enough
+    x, y = x[near], y[near]
+    if len(x):
+        size = np.array([len(h) for h in hashed])
+        both = _shared(hashed, a, b)[x, y]
+        sure = both >= least * (size[a[x]] + size[b[y]] - both) - 1e-9
+        out += np.bincount(a[x[sure]], minlength=len(out)) + np.bincount(b[y[sure]], minlength=len(out))
+    return out
+
+
+def degrees(links: DataFrame, hot: DataFrame, groups: DataFrame, df: DataFrame, sets: DataFrame, least: float, words: int) -> DataFrame:
+    """(node, n_links): the number of links of every set that has one.
+
+    Links between members of one hot variant (``hot``: key, set_id) are counted
+    where blocks of their group meet, each pair once whatever variants it
+    shares; only the counts leave a block. All other links are in ``links``.
+    """
+    keys = hot.join(groups, hot.set_id == groups.node).groupBy("group", "set_id").agg(F.collect_set("key").alias("keys"))
+    drawn = sets.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    keys = cut(keys.join(drawn, "set_id"))
+    size = keys.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("_n")).filter("m > 1")
+    size = size.select("group", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    meeting = keys.join(size, "group")
+    own = shingle_sets(df, words, cut(meeting.select("set_id")))
+    meeting = meeting.join(own, "set_id").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(3)), "blocks").cast("int"))
+    meeting = meeting.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meeting = meeting.select("group", F.least("block", "_x").alias("i"), F.greatest("block", "_x").alias("j"), "block", "set_id", "keys", "sketch", "shingles")
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, hashed = ([x.values.to_numpy() for x in t.column(c)] for c in ("keys", "shingles"))
+        drawn = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        n = linked(t.column("block").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py(), keys, drawn, hashed, least)
+        return pa.table({"node": t.column("set_id"), "n": pa.array(n)})
+
+    inside = meeting.groupBy("group", "i", "j").applyInArrow(run, "node bigint, n bigint")
+    ka, kb = (keys.select(F.col("set_id").alias(c), F.col("keys").alias(f"_{c}")) for c in "ab")
+    beside = links.join(ka, "a", "left").join(kb, "b", "left").filter(~F.coalesce(F.arrays_overlap("_a", "_b"), F.lit(False)))
+    beside = beside.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("bigint").alias("n"))
+    return inside.unionByName(beside).groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int = SEGMENTS, width: int = WIDTH, count_links: bool = True) -> DataFrame:
     """(record_id, group_id, n_links) of every row (record_id, text): the group it belongs to.
 
     Two texts are linked if they share at least ``least`` of the distinct
     ``words``-word shingles of either; groups are records connected by links.
-    n_links is the number of different other texts that the record's text was
-    found linked to; of a hot variant it counts the links that connect the
-    group, not all. Rows delivered twice count once. A text of fewer words has
+    n_links is the number of different other texts that the record's text is
+    linked to, hot variants or not; it is left out if not ``count_links``,
+    since in a hot variant all members of a group must meet for it. Rows delivered twice count once. A text of fewer words has
     no shingles and a group of its own (group_id null). A record_id with
     several texts has a row for each. Extra columns are ignored. Two different
     sets of shingles are taken for one only if their 64-bit hashes agree.
@@ -321,6 +401,7 @@ def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int =
     met = both.filter("hot is not null")
     links = cut(verified(met.select("a", "b"), df, sets, least, words))
     groups = components(links)
+    hot = None
     if not met.filter("hot").isEmpty():
         hot = both.filter("hot is null").select(F.col("a").alias("key"), F.col("b").alias("set_id"))
         # Members of hot variants that lie in different groups meet, group against group.
@@ -331,9 +412,14 @@ def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int =
         cross = own.join(other, "key").filter("g < h").select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
         links = cut(links.unionByName(verified(cut(cross), df, sets, least, words)).distinct())
         groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = sets.select("record_id", F.col("set_id").alias("node")).join(groups, "node", "left").join(degree, "node", "left")
-    return out.select("record_id", F.coalesce("group", "node").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = sets.select("record_id", F.col("set_id").alias("node")).join(groups, "node", "left")
+    if not count_links:
+        return out.select("record_id", F.coalesce("group", "node").alias("group_id"))
+    if hot is not None:
+        degree = degrees(links, hot, groups, df, sets, least, words)
+    else:
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    return out.join(degree, "node", "left").select("record_id", F.coalesce("group", "node").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def pairs(grouped: DataFrame) -> DataFrame:

@@ -38,19 +38,19 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, with_text=True).select("item_kind", "item_id", "draft_no", "piece_no", "n_pieces", "start_pos", "end_pos", "piece_size", F.col("piece_section").alias("section"), F.col("piece_text").alias("text"))
 
 
-def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grouped(spark: SparkSession, sf_dir: str, count_links: bool) -> DataFrame:
     rows = [table(spark, sf_dir, t).select(F.col("chunk_id").alias("record_id"), "text") for t in ("chunk_rows", "kg_nodes")]
-    return neardup.group(rows[0].unionByName(rows[1]))
+    return neardup.group(rows[0].unionByName(rows[1]), count_links=count_links)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one group."""
-    return neardup.pairs(_grouped(spark, sf_dir))
+    return neardup.pairs(_grouped(spark, sf_dir, count_links=False))
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's group and its number of links."""
-    return _grouped(spark, sf_dir)
+    return _grouped(spark, sf_dir, count_links=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

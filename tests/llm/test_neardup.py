@@ -88,6 +88,21 @@ def test_hot_groups_lose_no_link(spark):
     assert sum(s == 1 for s in sizes) == 350 - len({x for p in brute(rows) for x in p})
 
 
+def test_links_inside_hot_variants_are_counted(spark, monkeypatch):
+    """Links of a family larger than HOT, in one block and in several, are those of brute force."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(f"h{i:03d}", " ".join(edited(r, base, 1 + i % 8))) for i in range(90)] + corpus(2, 20)[1]
+    sets = {i: triples(t) for i, t in rows}
+    want = {i: sum(j != i and len(x & y) >= 0.7 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    assert len({frozenset(x) for x in sets.values()}) == len(rows) and max(want.values()) > nd.HOT
+    df = spark.createDataFrame([*rows, rows[0]], "record_id string, text string")
+    for block in (256, 20):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        got = {x.record_id: x.n_links for x in nd.group(df).collect()}
+        assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.99 * sum(want.values())
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1060)]
