@@ -11,6 +11,7 @@ particle that goes on, or a new start) classify the gap.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,11 +44,37 @@ REPORTING = frozenset("said asked shouted wrote replied answered added called cr
 #: What goes on after a closing quote in Japanese and Korean.
 GO_ON_JA = ["という", "といった", "として", "とだけ", "って", "と", "は", "が", "を", "の", "に", "で", "も", "など", "や", "へ", "から", "まで", "より"]
 GO_ON_KO = ["이라고", "라고", "이라는", "라는", "이라며", "라며", "하고", "고", "는", "은", "이", "가", "을", "를", "와", "과", "의", "에", "로", "으로", "도", "만"]
+#: Copulas, and words of going on that would be read as an opening word.
+GO_ON_JA += ["です", "でした", "でしょう", "である", "であった", "とは", "とも", "でもいい", "でもよい", "でもない", "でもなく", "でもありません", "でもかまわない"]
+#: Words that open a sentence though they begin like a particle; a mark after them is part of the word where they go on without it.
+STARTS_JA = """でも では、 できれば できるだけ できる できた できない できごと でかける でかけた でたらめ でこぼこ でんわ
+    とても とにかく ところで ところが ときどき ときおり ときに ときには とりあえず とりわけ とうとう とうてい とっくに とっさに とつぜん とくに ともかく ともあれ ともだち とはいえ、 とんでもない とんだ とある とびら とたんに とっても
+    はい はいはい はじめ はじめて はじめに はじめは はっきり はっと はやく はやい はるか はるかに はるばる はたして はて ははは はらはら
+    がっかり がんばる がんばれ がんばって がんばろう がやがや がらん がたがた がたん
+    のち のちに のんびり のろのろ のど のこり のぞみ のびのび のそのそ
+    にわか にわかに にこにこ にっこり にやにや にやり にぎやか にほん におい にんじん
+    もし もしも もしもし もしかして もしかしたら もしかすると もしくは もちろん もう もうすぐ もういちど もっと もっとも もともと もとより もはや ものすごい ものすごく もったいない もどる もどって もらう もらった
+    やはり やっぱり やっと やがて やや やあ やめて やめろ やめた やめる やさしい やった やって やる やれやれ やむなく やけに やたら やたらと
+    へえ へん へや へとへと からっぽ からす からくも からから よりよい よりによって""".split()
+#: Common words that follow a particle, so that a particle and such a word are read as two words.
+COMMON_JA = """いい いう いった いって いえば いえない いる いた いて いない いいえ ある あった あり ない なかった なく なる なった なって する した して しない しよう される された
+    この その あの どの これ それ あれ どれ ここ そこ どこ だけ だ だった です でした ます ました ため よう ように ような こと ても まだ また すぐ ただ みんな わたし あなた かれ ほど ばかり くらい おもう おもった きく きいた ちがう ちがった わかる わかった""".split()
+#: Words that end like a final form and close no sentence.
+NOT_FINAL_JA = "また まだ ただ いまだ あなた たった あした あいだ からだ なみだ はだ えだ まぶた ひたい いったい ぜったい だいたい せいたい あんない かない ますます あまた かなた こなた そなた どなた".split()
 #: Words that close a sentence without a mark, and words that open one, in scripts without spaces.
 FINAL_JA = ["です", "ます", "でした", "ました", "ません", "でしょう", "ましょう", "ください", "ですか", "ますか", "ですね", "ますね", "ですよ", "ますよ"]
+FINAL_JA += ["だ", "だった", "だろう", "のだ", "んだ", "だよ", "だね", "だな", "かな", "よね", "たよ", "たね", "ないよ", "ないね"]
+#: Plain forms that close a sentence or stand before a noun: before a space they close only where a word opens after it.
+PLAIN_JA = ["た", "ない", "なかった", "たい", "である", "であった", "ある", "いる", "する", "なる", "できる"]
 FINAL_ZH = ["吗", "吧", "呢", "啊", "呀", "了吗", "了吧"]
-OPEN_JA = ["しかし", "そして", "また", "なお", "ただし", "そのため", "それでも", "つまり", "では", "さて", "次に", "この", "その", "これ", "それ", "あの", "いや", "いえ", "本当に", "なぜ"]
+OPEN_JA = ["しかし", "そして", "また", "なお", "ただし", "そのため", "それでも", "つまり", "では", "さて", "次に", "この", "その", "これ", "それ", "あの", "いや", "いえ", "いいえ", "だから", "だが", "けれども", "すると", "それに", "本当に", "なぜ"] + STARTS_JA
 OPEN_ZH = ["但是", "因此", "所以", "然后", "另外", "此外", "不过", "这", "那", "我们", "他们", "请", "从", "为什么", "真的", "不"]
+NOT_FINAL_ZH = "酒吧 网吧 贴吧 水吧 氧吧 茶吧 咖啡吧 毛呢 花呢".split()
+#: Lists as the lattice takes them.
+GO_ON_JA, ANY_FINAL_JA, OPEN_JA, FINAL_ZH, OPEN_ZH = map(tuple, (GO_ON_JA, FINAL_JA + PLAIN_JA, OPEN_JA, FINAL_ZH, OPEN_ZH))
+#: The dictionaries of the word lattice.
+DICTIONARY_JA = frozenset([*STARTS_JA, *COMMON_JA, *NOT_FINAL_JA])
+DICTIONARY_ZH = frozenset(NOT_FINAL_ZH)
 
 END = ".!?…。！？।॥؟۔"
 WIDE, PLAIN_STRONG = frozenset("。！？"), frozenset("।॥؟۔")
@@ -57,7 +84,7 @@ CLOSERS = frozenset(")]}）］】」』》〉»”’\"'〕")
 DASHES = frozenset("—–―-")
 
 _UNIT_LINE = re.compile(r"\s*(?:#{1,2} |[-*] |\d+\) |\||\[)")
-_MARK = re.compile(r"[.!?…。！？।॥؟۔]+|[()\[\]{}（）［］【】「」『』《》〈〉«»“”‘’„‚\"'〔〕]|(?<=[ก-๎])\s+(?=[ก-๎])|(?<=[すたんうい])[ 　]+(?=[ぁ-ヿ一-鿿])|(?<=[吗吧呢啊呀])[ 　]+(?=[一-鿿])")
+_MARK = re.compile(r"[.!?…。！？।॥؟۔]+|[()\[\]{}（）［］【】「」『』《》〈〉«»“”‘’„‚\"'〔〕]|(?<=[ก-๎])\s+(?=[ก-๎])|(?<=[すたんういだかねよなる])[ 　]+(?=[ぁ-ヿ一-鿿])|(?<=[吗吧呢啊呀])[ 　]+(?=[一-鿿])")
 _SPACE = re.compile(r"\s*")
 _TOKEN_BEFORE = re.compile(r"[^\s(\[{（「『“‘«„\"'¿¡]*\Z")
 _WORD = re.compile(r"\S+")
@@ -89,16 +116,26 @@ def _script(c: str) -> str:
     return "l" if c.islower() else "n"
 
 
-def _opens_word(text: str, at: int, words: list[str]) -> str:
-    """The word of the list at the start of the best path through the lattice of ``words`` and single letters, or ''.
+@functools.cache
+def _lattice(words: tuple[str, ...], dictionary: frozenset[str], back: bool) -> tuple[frozenset[str], int]:
+    """(the words of list and dictionary, read backwards if ``back``; the length of the longest)."""
+    known = frozenset(w[::-1] if back else w for w in (*words, *dictionary))
+    return known, max(map(len, known))
+
+
+def _opens_word(text: str, at: int, words: tuple[str, ...], dictionary: frozenset[str]) -> str:
+    """The word of the list at the start of the best path through the lattice of ``words``, ``dictionary`` and single letters, or ''.
 
     A path's cost is its number of words, single letters counting double, over
-    a window of a few words: so a dictionary word is read only where the rest
-    doesn't read better without it.
+    a window of a few words: so a word of the list is read only where the rest
+    doesn't read better without it, and yields to longer dictionary words.
     """
-    known = frozenset(words)
-    longest = max(map(len, words))
-    window = text[at : at + 2 * longest]
+    known, longest = _lattice(words, dictionary, False)
+    first = _first_word(text[at : at + 2 * longest], known, longest)
+    return first if first in words else ""
+
+
+def _first_word(window: str, known: frozenset[str], longest: int) -> str:
     n = len(window)
     cost = [0.0] * (n + 1)
     take = [1] * (n + 1)
@@ -107,14 +144,22 @@ def _opens_word(text: str, at: int, words: list[str]) -> str:
         for k in range(1, min(longest, n - i) + 1):
             if window[i : i + k] in known and 1 + cost[i + k] <= cost[i]:
                 cost[i], take[i] = 1 + cost[i + k], k
-    first = window[: take[0]]
-    return first if first in known else ""
+    return window[: take[0]]
 
 
-def _closes_word(text: str, at: int, words: list[str]) -> str:
+def _closes_word(text: str, at: int, words: tuple[str, ...], dictionary: frozenset[str]) -> str:
     """As ``_opens_word``, read backwards from ``at``."""
-    longest = max(map(len, words))
-    return _opens_word(text[max(0, at - 2 * longest) : at][::-1], 0, [w[::-1] for w in words])[::-1]
+    known, longest = _lattice(words, dictionary, True)
+    last = _first_word(text[max(0, at - 2 * longest) : at][::-1], known, longest)[::-1]
+    return last if last in words else ""
+
+
+def _closes_at_space(text: str, at: int, nxt: int) -> bool:
+    """Whether a sentence in a script without spaces ends at the space from ``at`` to ``nxt``."""
+    if _script(text[at - 1]) != "j":
+        return bool(_closes_word(text, at, FINAL_ZH, DICTIONARY_ZH))
+    word = _closes_word(text, at, ANY_FINAL_JA, DICTIONARY_JA)
+    return bool(word) and (word not in PLAIN_JA or bool(_opens_word(text, nxt, OPEN_JA, DICTIONARY_JA)))
 
 
 def _spans(text: str, marks: list[re.Match]) -> list[tuple[int, int]]:
@@ -256,7 +301,7 @@ def _after_quote(text: str, begin: int, span: tuple[int, int], end: int, nxt: in
             return False
         return not at_start and not any(text.startswith(p + " ", nxt) for p in GO_ON_KO)
     if kind in ("j", "c"):
-        if _opens_word(text, nxt, GO_ON_JA) and "ぁ" <= c <= "ゟ":
+        if _opens_word(text, nxt, GO_ON_JA, DICTIONARY_JA) and "ぁ" <= c <= "ゟ":
             return False
         return not at_start or kind == "j" or gap
     if kind in ("n", "t"):
@@ -289,8 +334,8 @@ def _ends(text: str, begin: int, run: str, at: int, end: int, nxt: int) -> bool:
         if prev == "h":
             return gap and bool(_KO_FINAL.search(text, at - 1, at))
         if prev in ("j", "c"):
-            closed = _closes_word(text, at, FINAL_JA if prev == "j" else FINAL_ZH)
-            opened = _opens_word(text, nxt, OPEN_JA if prev == "j" else OPEN_ZH)
+            closed = _closes_word(text, at, *((ANY_FINAL_JA, DICTIONARY_JA) if prev == "j" else (FINAL_ZH, DICTIONARY_ZH)))
+            opened = _opens_word(text, nxt, *((OPEN_JA, DICTIONARY_JA) if prev == "j" else (OPEN_ZH, DICTIONARY_ZH)))
             return bool(closed) and (gap or bool(opened))
         return gap
     return _after_dot(text, begin, at, nxt, gap)
@@ -324,7 +369,7 @@ def _paragraph(text: str) -> list[tuple[int, int]]:
         if run[0].isspace():
             if not inside:
                 word = text[a - 1]
-                if "฀" <= word <= "๿" or _closes_word(text, a, FINAL_JA if word in "すたんうい" else FINAL_ZH):
+                if "฀" <= word <= "๿" or _closes_at_space(text, a, b):
                     begin = close(b)
             continue
         if inside:

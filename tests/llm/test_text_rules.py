@@ -28,6 +28,21 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences(text)] == want
 
 
+#: Ordinary words that begin like a particle, particles, and plain final forms; | is a boundary.
+JAPANESE = [
+    *(f"彼は「そうだ。」|{w}帰った。" for w in ("とても急いで", "でも、すぐ", "はい、と答えて", "もし雨なら", "もちろん", "がっかりして", "やがて", "にっこりして", "のちに", "ところが客は")),
+    *(f"彼は「そうだ。」{w}。" for w in ("と言った", "とつぶやいた", "という声がした", "は正しい", "はいい言葉だ", "もした", "でもいい", "です", "とは言わない", "でした", "から始まる", "が口癖だ", "のように話した")),
+    "雨だ……|しかし行く。", "もう帰った……|でも、暗い。", "誰も知らない……|もちろん私も。", "まだ……しかし行く。", "あなた……でも、いい。", "いったい……なぜ来た。",
+    "今日は雨だ　|明日は晴れる。", "雨が降った　|しかし私は行く。", "昨日会った　人が来た。", "そうですね　|明日行きます。", "ますます　暑い。",
+]
+
+
+@pytest.mark.parametrize("marked", JAPANESE)
+def test_japanese_words_compete_with_particles(marked):
+    text = marked.replace("|", "")
+    assert [text[a:b] for a, b in sentences(text)] == [x.strip() for x in marked.split("|")]
+
+
 def test_sentences_cover_all_but_white_space():
     r = random.Random(7)
     for _ in range(400):
