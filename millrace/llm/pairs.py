@@ -28,6 +28,10 @@ DEFECTS = ["empty", "copied_question", "refusal", "wrong_language", "truncated"]
 #: Least posteriors. Half is where both errors weigh the same; tests hold them against labelled pairs.
 CUTOFFS = {"empty": 0.5, "copied_question": 0.5, "refusal": 0.5, "wrong_language": 0.5, "truncated": 0.5}
 
+#: How often the last token of an answer occurs at most to be strange, and an ending at least to be judged: as a share of all different pairs of question and answer, and in small corpora.
+STRANGE, STRANGE_N = 1 / 1000, 2
+TOLD, TOLD_N = 1 / 1500, 4
+
 # Placeholders, labels, and words of refusals, by language.
 
 PLACEHOLDERS = frozenset("none null nil nan n/a na n.a. n.a - -- --- . .. ... … …… ? [] {} () \"\" '' “” ‘’ tbd todo empty blank undefined 없음 해당없음 무 なし 無 无 空 answer 답변 답 response 回答 答え 回复 답변없음".split())
@@ -116,11 +120,12 @@ def _contexts(tokens: list[str], end_only: bool = False) -> tuple[list[int], lis
     return ends, [(h(tokens[i - k + 1 : i + 1]), i == n - 1 or tokens[i + 1] == "\n") for i in range(1, n) for k in (1, 2, 3, 4) if i - k + 1 >= 0 and tokens[i] != "\n"]
 
 
-def votes(question: str | None, answer: str | None, truth: str | None, ends: list[tuple[int, int]] | None) -> dict[str, list[int]]:
+def votes(question: str | None, answer: str | None, truth: str | None, ends: list[tuple[int, int]] | None, n_pairs: int = 0) -> dict[str, list[int]]:
     """The votes of all labelling functions, per defect; 1 for it, -1 against it, 0 none.
 
     ``ends`` are, for the last one to four tokens of the answer, how often they
-    occur among all answers and how often an answer or a line ends with them.
+    occur among the answers of all different pairs of question and answer, of
+    which there are ``n_pairs``, and how often an answer or a line ends with them.
     """
     q, a, t = visible(question), visible(answer), visible(truth)
     bare = LABELS.sub("", a, count=1).strip()
@@ -173,9 +178,9 @@ def votes(question: str | None, answer: str | None, truth: str | None, ends: lis
     value = bool(_VALUE_END.search(line[-160:])) and (bool(re.search(r"[=:/<+@]|\d{3}", line[-40:])) or len(end) < 12)
     item = bool(_LIST_ITEM.match(line))
     known = [(n, e) for n, e in ends or [] if n]
-    longest = next(((n, e) for n, e in reversed(known) if n >= 4), (0, 0))
+    longest = next(((n, e) for n, e in reversed(known) if n >= max(TOLD_N, TOLD * n_pairs)), (0, 0))
     goes_on = 0 if not longest[0] else 1 if longest[1] <= 0.04 * longest[0] else -1 if longest[1] >= 0.3 * longest[0] else 0
-    strange = bool(ends) and ends[0][0] <= 2
+    strange = bool(ends) and ends[0][0] <= max(STRANGE_N, STRANGE * n_pairs)
     la_ = language(last)
     finished = closed or (la_ == "ko" and bool(_KO_END.search(end))) or (la_ == "ja" and bool(_JA_END.search(end)))
     phrase = not finished and len(answers) == 1 and not re.search(r"(?:은|는|을|를|이며|하고|에서|면)(?:\s|$)", end) and not (la_ == "en" and end[:1].isupper() and len(end.split()) > 3) and len(end) < 100
@@ -222,19 +227,25 @@ def vote(logs: DataFrame) -> DataFrame:
     """(log_id, no_answer, a string of votes per defect) of every log, each log_id once (its least texts).
 
     Votes are written as ``-``, ``0`` and ``+``. no_answer says that the ground
-    truth itself denies an answer. How answers end is counted over all of them.
+    truth itself denies an answer. How answers end is counted over all different
+    pairs of question and answer, so that copies of one don't vouch for it;
+    one answer to several questions counts for each.
     """
     own = logs.select("log_id", F.struct("question", "answer", "ground_truth").alias("s")).groupBy("log_id").agg(F.min("s").alias("s")).select("log_id", "s.*")
 
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, answered = ([visible(x) for x in batch.column(c).to_pylist()] for c in ("question", "answer"))
+            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.string()), pa.array(answered, pa.string())], names=["question", "answer"])
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, list[int]] = {}
             for a in batch.column("answer").to_pylist():
-                if a := visible(a):
-                    for h, e in _contexts(_tokens(a))[1]:
-                        c = seen.setdefault(h, [0, 0])
-                        c[0] += 1
-                        c[1] += e
+                for h, e in _contexts(_tokens(a))[1]:
+                    c = seen.setdefault(h, [0, 0])
+                    c[0] += 1
+                    c[1] += e
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["h", "n", "e"])
 
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +259,10 @@ def vote(logs: DataFrame) -> DataFrame:
                         hs.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(hs, pa.int64())], names=["log_id", "k", "h"])
 
-    counts = own.select("answer").mapInArrow(contexts, "h bigint, n bigint, e bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    different = own.select("question", "answer").mapInArrow(shown, "question string, answer string").filter("answer <> ''")
+    different = cut(different.distinct().select("answer"))
+    n_pairs = different.count()
+    counts = different.mapInArrow(contexts, "h bigint, n bigint, e bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     ends = own.select("log_id", "answer").mapInArrow(endings, "log_id bigint, k int, h bigint").join(counts, "h")
     ends = ends.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("k", "n", "e"))).alias("ends"))
 
@@ -259,7 +273,7 @@ def vote(logs: DataFrame) -> DataFrame:
                 tail = [(0, 0)] * 4
                 for x in e or []:
                     tail[x["k"]] = (x["n"], x["e"])
-                v = votes(q, a, t, tail)
+                v = votes(q, a, t, tail, n_pairs)
                 rows.append((i, bool(t and NO_ANSWER.search(t)), *("".join("-0+"[x + 1] for x in v[d]) for d in DEFECTS)))
             cells = list(zip(*rows)) or [()] * (2 + len(DEFECTS))
             yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.bool_()), *(pa.array(c, pa.string()) for c in cells[2:])], names=["log_id", "no_answer", *DEFECTS])

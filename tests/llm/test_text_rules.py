@@ -165,6 +165,18 @@ def test_defects_of_invented_pairs(spark):
     assert pairs.found(odd.limit(0)).count() == 0
 
 
+def test_votes_do_not_depend_on_copies_or_size(spark):
+    rows = [(i, q, a, t) for i, q, a, t, _ in qa(100)[0]] + [(1000, "Why?", "- first\n- second thi", None), (1001, "Who runs it?", "The office that keeps the regis", None)]
+    many = [(i + 10000 * k, q, a, t) for k in range(6) for i, q, a, t in rows]
+    schema = "log_id bigint, question string, answer string, ground_truth string"
+    once, copied = ({r.log_id: r[1:] for r in pairs.vote(spark.createDataFrame(x, schema)).collect()} for x in (rows, many))
+    assert all(copied[i + 10000 * k] == once[i] for i in once for k in range(6))
+    for n in range(1, 12):
+        tail = [(n, 0), (n, n // 2), (n // 2, n // 2), (1, 1)]
+        few, more = (pairs.votes("Who runs it?", "The office that keeps the regis", None, [(k * x, k * e) for x, e in tail], 6000 * k) for k in (1, 10))
+        assert few == more
+
+
 def test_label_model_recovers_rates():
     r = random.Random(0)
     counts = {}
