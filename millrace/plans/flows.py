@@ -45,11 +45,21 @@ def chk03_recursive_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "recursive_sentence")
 
 
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "raw_docs").groupBy("doc_id").agg(F.max_by("content", "ingested_at").alias("content"))
+    return d.withColumn("content", preprocess.normalise_document(F.col("content")))
+
+
+@query()
+def chk04_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of markdown headings, over normalised documents."""
+    return chunking.chunk(_normalised(spark, sf_dir), "doc_id", "content", "markdown")
+
+
 @query()
 def chk05_markdown_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy chunks within the sections of markdown headings, over normalised documents."""
-    d = table(spark, sf_dir, "raw_docs").groupBy("doc_id").agg(F.max_by("content", "ingested_at").alias("content"))
-    return chunking.chunk(d.withColumn("content", preprocess.normalise_document(F.col("content"))), "doc_id", "content", "markdown_recursive")
+    return chunking.chunk(_normalised(spark, sf_dir), "doc_id", "content", "markdown_recursive")
 
 
 @query()

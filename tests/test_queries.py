@@ -53,3 +53,8 @@ def test_queries_without_sql_have_rows(spark):
 def test_entry(spark):
     if TABLES:
         assert registry.entry(spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables here")
+def test_markdown_sections_are_a_query(spark):
+    assert registry.queries()["chk04_markdown"](spark, SF).count() > 0
