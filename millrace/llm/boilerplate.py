@@ -212,11 +212,10 @@ def templates(own: DataFrame) -> DataFrame:
     bare = F.when(kind == _HEAD, F.col("e.element").bitwiseXOR(F.lit(_HEAD_MARK))).otherwise(F.col("e.element"))
     e = e.select("host", kind.alias("kind"), bare.alias("hash"), (form.bitwiseAND(2) > 0).alias("wordy"), (form.bitwiseAND(1) > 0).alias("digits"))
     counts = e.groupBy("host", "kind", "hash").agg(F.count("*").alias("n"), F.bool_or("wordy").alias("wordy"), F.bool_or("digits").alias("digits"))
-    counts = counts.filter(F.col("n") >= 2)
     by_host = counts.join(sizes, counts.host.eqNullSafe(sizes.host)).drop(sizes.host)
     share = F.when(F.col("kind") == _OPEN, OPEN_SHARE).when(F.col("wordy"), WORDY_SHARE).otherwise(SHARE)
-    by_host = by_host.withColumn("_many", F.col("n") >= F.greatest(F.lit(LEAST_PAGES), share * F.col("_pages")))
-    pooled = by_host.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.bool_or("_many").alias("many"), F.bool_or("wordy").alias("wordy"), F.bool_or("digits").alias("digits"))
+    by_host = by_host.withColumn("_many", (F.col("n") >= 2) & (F.col("n") >= F.greatest(F.lit(LEAST_PAGES), share * F.col("_pages"))))
+    pooled = by_host.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.bool_or("_many").alias("many"), F.bool_or("wordy").alias("wordy"), F.bool_or("digits").alias("digits")).filter("n >= 2")
     total = sizes.agg(F.sum("_pages").alias("_total"))
     pooled = pooled.crossJoin(F.broadcast(total))  # one row
     common = (F.col("hosts") >= 3) & ~F.col("digits") & ~F.col("wordy") & (F.col("n") >= F.greatest(F.lit(5), POOLED_SHARE * F.col("_total"))) & F.col("kind").isin(_LINE, _CELL)

@@ -121,6 +121,16 @@ def test_templates(spark):
     assert bp.not_body(docs.limit(0), chunks.limit(0)).count() == 0
 
 
+def test_templates_of_many_small_hosts(spark):
+    """A menu that thirty hosts share, each with one page."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    pages = [(f"d{i}", f"Subject {word()}", f"https://www.host-{word()}.example/{i}", f"Member area\n{word()} tells of {word()} and {word()}. It goes on.\n{word()} was said by {word()} to {word()}. Done.") for i in range(30)]
+    docs = spark.createDataFrame(pages, "doc_id string, title string, url string, text string")
+    chunks = spark.createDataFrame([], "chunk_id string, doc_id string, title string, url string, text string")
+    assert {(x.item_id, x.line_no) for x in bp.not_body(docs, chunks).collect()} == {(f"d{i}", 0) for i in range(30)}
+
+
 def qa(n=400):
     """Invented pairs with their defects."""
     r = random.Random(3)
