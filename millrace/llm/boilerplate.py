@@ -23,23 +23,26 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
 
 #: An element of a host's template is on this share of its pages; one of five words or more with digits on twice as many.
 SHARE, WORDY_SHARE, OPEN_SHARE = 0.025, 0.05, 0.03
-#: Over all hosts, for elements without digits on at least three hosts.
-POOLED_SHARE = 0.012
+#: A link's fixed part stands around titles on this share of its host's pages.
+LINK_SHARE = 0.002
+#: What stands on fewer pages of a host says nothing; a host of fewer pages has no template of its own.
 LEAST_PAGES = 3
-#: Longest list of bare links that runs into a paragraph; what stands last beyond it is the paragraph's heading.
-BARE_LINKS = 4
+#: From so many sites whose template it is, a line may be template of any site.
+SITES = 3
+#: The site of pages that belong to no host.
+POOL = 0
 
 # Classes of a hash in the templates.
 TEMPLATE, LIST_HEAD, LINK_KEY, OPEN, TITLE = 1, 2, 4, 8, 16
 # Kinds of counted elements.
-_LINE, _CELL, _OPEN, _HEAD, _KEY = range(5)
+_LINE, _CELL, _OPEN, _HEAD, _KEY, _TITLE = range(6)
 _HEAD_MARK = 0x5DEECE66D
 
 _DIGITS = re.compile(r"\d+")
@@ -133,7 +136,7 @@ def line_of(line: str) -> tuple[Line, int, list[int]] | None:
     return own, 2 * ((digits and n > 3) or tab or bullet) + digits, rests
 
 
-_PAGE = "item_id string, page_id string, host string, title_hash bigint, text_hash bigint, lines binary, element array<bigint>, form array<tinyint>, key array<bigint>, rest array<bigint>, hashes array<bigint>"
+_PAGE = "item_id string, page_id string, site bigint, title_hash bigint, text_hash bigint, lines binary, element array<bigint>, form array<tinyint>, key array<bigint>, rest array<bigint>, hashes array<bigint>"
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -147,7 +150,7 @@ def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
 
 
 def pages(df: DataFrame) -> DataFrame:
-    """The hashed elements of items (item_id, page_id, host, title, text), see ``_PAGE``; the text itself stays behind.
+    """The hashed elements of items (item_id, page_id, site, title, text), see ``_PAGE``; the text itself stays behind.
 
     ``lines`` are packed for ``judge``. Of ``element`` and ``form`` there is one
     entry per counted element, its kind in the form; of ``key`` and ``rest`` one
@@ -189,52 +192,101 @@ def pages(df: DataFrame) -> DataFrame:
                         c.append(list(v))
                 kinds = (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("item_id", "page_id", "host")), pa.array(titles, pa.int64()), pa.array(hashes, pa.int64()), pa.array(packed, pa.binary()), *(_lists(c, k) for c, k in zip(columns, kinds))],
+                    [*(part.column(c) for c in ("item_id", "page_id", "site")), pa.array(titles, pa.int64()), pa.array(hashes, pa.int64()), pa.array(packed, pa.binary()), *(_lists(c, k) for c, k in zip(columns, kinds))],
                     names=[x.split()[0] for x in _PAGE.split(", ")],
                 )
 
-    return df.select("item_id", "page_id", "host", "title", "text").mapInArrow(run, _PAGE).dropDuplicates(["item_id", "text_hash"])
+    return df.select("item_id", "page_id", "site", "title", "text").mapInArrow(run, _PAGE).dropDuplicates(["item_id", "text_hash"])
 
 
-def templates(own: DataFrame) -> DataFrame:
-    """(hash, class): what recurs across many pages of a host; ``class`` adds up the classes of a hash.
+def counted(own: DataFrame) -> DataFrame:
+    """(site, hash, n_line, n_cell, n_open, n_head, n_title, wordy, digits, n_pages): on how many pages of a site an element stands, in each kind.
 
-    Counts are over all pages, pre-aggregated where they are made. A pages'
-    host that is null counts as a host of its own. What is template of one
-    host is template wherever it recurs.
+    One shuffle over the elements of all pages, pre-aggregated where they are
+    made: a head carries the hash of its line and a title that of its text, so
+    all that is known of a hash on a site meets in one row.
     """
-    titles = own.filter("title_hash is not null").select(F.col("title_hash").alias("hash")).distinct()
-    sizes = own.groupBy("host").agg(F.count("*").alias("_pages"))
-    e = own.select("host", F.explode(F.arrays_zip("element", "form")).alias("e"))
-    form = F.col("e.form")
-    kind = F.shiftright(form.cast("int"), 2)
-    # Heads carry a mark, so that a line and the same line as a head are two elements.
+    e = own.select("site", F.explode(F.arrays_zip("element", "form")).alias("e"))
+    kind = F.shiftright(F.col("e.form").cast("int"), 2)
     bare = F.when(kind == _HEAD, F.col("e.element").bitwiseXOR(F.lit(_HEAD_MARK))).otherwise(F.col("e.element"))
-    e = e.select("host", kind.alias("kind"), bare.alias("hash"), (form.bitwiseAND(2) > 0).alias("wordy"), (form.bitwiseAND(1) > 0).alias("digits"))
-    counts = e.groupBy("host", "kind", "hash").agg(F.count("*").alias("n"), F.bool_or("wordy").alias("wordy"), F.bool_or("digits").alias("digits"))
-    by_host = counts.join(sizes, counts.host.eqNullSafe(sizes.host)).drop(sizes.host)
-    share = F.when(F.col("kind") == _OPEN, OPEN_SHARE).when(F.col("wordy"), WORDY_SHARE).otherwise(SHARE)
-    by_host = by_host.withColumn("_many", (F.col("n") >= 2) & (F.col("n") >= F.greatest(F.lit(LEAST_PAGES), share * F.col("_pages"))))
-    pooled = by_host.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.bool_or("_many").alias("many"), F.bool_or("wordy").alias("wordy"), F.bool_or("digits").alias("digits")).filter("n >= 2")
-    total = sizes.agg(F.sum("_pages").alias("_total"))
-    pooled = pooled.crossJoin(F.broadcast(total))  # one row
-    common = (F.col("hosts") >= 3) & ~F.col("digits") & ~F.col("wordy") & (F.col("n") >= F.greatest(F.lit(5), POOLED_SHARE * F.col("_total"))) & F.col("kind").isin(_LINE, _CELL)
-    recurring = pooled.filter((F.col("many") | common) & F.col("kind").isin(_LINE, _CELL)).select("hash").distinct().join(titles, "hash", "left_anti")
-    opened = pooled.filter(F.col("many") & (F.col("kind") == _OPEN)).select("hash")
+    e = e.select("site", bare.alias("hash"), kind.alias("kind"), (F.col("e.form").bitwiseAND(2) > 0).alias("wordy"), (F.col("e.form").bitwiseAND(1) > 0).alias("digits"))
+    titles = own.filter("title_hash is not null").select("site", F.col("title_hash").alias("hash"), F.lit(_TITLE).alias("kind"), F.lit(False).alias("wordy"), F.lit(False).alias("digits"))
+    kinds = [F.count_if(F.col("kind") == k).alias(f"n_{name}") for k, name in ((_LINE, "line"), (_CELL, "cell"), (_OPEN, "open"), (_HEAD, "head"), (_TITLE, "title"))]
+    by_site = e.unionByName(titles).groupBy("site", "hash").agg(*kinds, F.bool_or("wordy").alias("wordy"), F.bool_or("digits").alias("digits"))
+    return by_site.join(own.groupBy("site").agg(F.count("*").alias("n_pages")), "site")
+
+
+def _many(n: str, share: Column | float) -> Column:
+    return F.col(n) >= F.greatest(F.lit(LEAST_PAGES), share * F.col("n_pages"))
+
+
+def _classes(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``class``: what a hash is on its site, by how many of the site's pages it stands on."""
+    share = F.when(F.col("wordy"), WORDY_SHARE).otherwise(SHARE)
+    template = (F.col("n_title") == 0) & (_many("n_line", share) | _many("n_cell", share))
     # A list heading is template, and often something counted or numbered follows it.
-    lines = pooled.filter(F.col("kind") == _LINE).select("hash", F.col("n").alias("_all"))
-    heads = pooled.filter(F.col("kind") == _HEAD).select("hash", "n").join(lines, "hash").filter(F.col("n") >= 0.2 * F.col("_all")).join(recurring, "hash", "left_semi").select("hash")
-    # A link's fixed part stands around titles of pages.
-    links = own.select(F.explode(F.arrays_zip("key", "rest")).alias("l")).select("l.key", F.col("l.rest").alias("hash"))
-    known = links.groupBy("key", "hash").agg(F.count("*").alias("n")).join(titles.withColumn("_t", F.lit(1)), "hash", "left")
-    keys = known.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("_t", F.lit(0))).alias("t"))
-    keys = keys.crossJoin(F.broadcast(total)).filter((F.col("t") >= 0.25 * F.col("n")) & (F.col("t") >= F.greatest(F.lit(LEAST_PAGES), 0.002 * F.col("_total")))).select(F.col("key").alias("hash"))
-    parts = [(recurring, TEMPLATE), (heads, LIST_HEAD), (keys, LINK_KEY), (opened, OPEN), (titles, TITLE)]
-    out = None
-    for df, c in parts:
-        df = df.select("hash", F.lit(c).alias("class"))
-        out = df if out is None else out.unionByName(df)
-    return out.groupBy("hash").agg(F.sum("class").cast("int").alias("class"))
+    head = template & (F.col("n_head") > 0) & (F.col("n_head") >= 0.2 * F.col("n_line"))
+    parts = ((template, TEMPLATE), (head, LIST_HEAD), (_many("n_open", OPEN_SHARE), OPEN), (F.col("n_title") > 0, TITLE))
+    return counts.withColumn("class", sum((F.when(x, c).otherwise(0) for x, c in parts), F.lit(0)))
+
+
+def classed(own: DataFrame) -> DataFrame:
+    """(site, hash, n, class): what a line, cell or title is on its site, and on how many of its pages; what recurs otherwise, only if it has a class."""
+    return _classes(counted(own)).select("site", "hash", (F.col("n_line") + F.col("n_cell")).alias("n"), F.col("class").cast("int").alias("class")).filter("n > 0 or class > 0")
+
+
+def link_keys(own: DataFrame) -> DataFrame:
+    """(site, hash, class): the fixed parts that stand around titles of the site's pages."""
+    links = own.select("site", F.explode(F.arrays_zip("key", "rest")).alias("l")).select("site", "l.key", F.col("l.rest").alias("hash"))
+    titles = own.filter("title_hash is not null").select("site", F.col("title_hash").alias("hash")).distinct().withColumn("_t", F.lit(1))
+    known = links.groupBy("site", "key", "hash").agg(F.count("*").alias("n")).join(titles, ["site", "hash"], "left")
+    keys = known.groupBy("site", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("_t", F.lit(0))).alias("t"))
+    keys = keys.filter((F.col("t") >= 0.25 * F.col("n")) & (F.col("t") >= LEAST_PAGES)).join(own.groupBy("site").agg(F.count("*").alias("n_pages")), "site").filter(_many("t", LINK_SHARE))
+    return keys.select("site", F.col("key").alias("hash"), F.lit(LINK_KEY).alias("class"))
+
+
+class Known(NamedTuple):
+    """Templates (site, hash, class) of all sites, and the further sites of pages (item_id, text_hash, site, hashes)."""
+
+    classes: DataFrame
+    moved: DataFrame
+
+
+def learn(own: DataFrame) -> Known:
+    """The templates of every site from its own pages, and which pages carry the template of another site than their url names.
+
+    A mirror keeps the chrome of the site it was copied from: a page also
+    belongs to the site most of whose own lines it has (lines that are template
+    of that site only; two at least, the least site on a tie). So do pages
+    whose url names no site. What then belongs nowhere, or to a site of too few
+    pages to count, is counted as one more site, the pool.
+
+    A line that is template of one site says nothing about others, unless it
+    is template of ``SITES`` sites at least and half of all its places are
+    there: then it is template wherever it isn't a title.
+    """
+    named = own.filter("site is not null")
+    c = cut(classed(named))
+    is_template = F.col("class").bitwiseAND(TEMPLATE) > 0
+    over = c.groupBy("hash").agg(F.sum("n").alias("n"), F.sum(F.when(is_template, F.col("n"))).alias("t"), F.count_if(is_template).alias("sites"), F.min(F.when(is_template, F.col("site"))).alias("at"), F.bit_or(F.when(is_template, F.col("class").bitwiseAND(TEMPLATE | LIST_HEAD)).otherwise(0)).alias("_p")).filter("sites > 0")
+    over = cut(over.filter((F.col("sites") == 1) | ((F.col("sites") >= SITES) & (2 * F.col("t") >= F.col("n")))))
+    everywhere = over.filter("sites > 1").select("hash", "_p")
+    titled = F.col("class").bitwiseAND(TITLE) > 0
+    classes = c.join(everywhere, "hash", "left").withColumn("class", F.when(titled, F.col("class")).otherwise(F.col("class").bitwiseOR(F.coalesce("_p", F.lit(0))))).filter("class > 0").select("site", "hash", "class")
+    classes = cut(classes.unionByName(link_keys(named)))
+    lines = own.select("item_id", "text_hash", "site", F.explode(F.arrays_zip("element", "form")).alias("e")).filter(F.shiftright(F.col("e.form").cast("int"), 2) == _LINE).select("item_id", "text_hash", "site", F.col("e.element").alias("hash"))
+    votes = lines.join(over.filter("sites = 1").select("hash", "at"), "hash").filter("site is null or site <> at").groupBy("item_id", "text_hash", "at").agg(F.count("*").alias("n"), F.max("site").alias("site")).filter("n >= 2 or site is null")
+    best = votes.groupBy("item_id", "text_hash").agg(F.max(F.struct("n", (-F.col("at")).alias("at")))["at"].alias("at")).select("item_id", "text_hash", (-F.col("at")).alias("at"))
+    few = named.groupBy("site").agg(F.count("*").alias("n")).filter(F.col("n") < LEAST_PAGES).select("site", F.lit(True).alias("_few"))
+    narrow = own.select("item_id", "text_hash", "site", "hashes").join(best, ["item_id", "text_hash"], "left").join(few, "site", "left")
+    moved = cut(narrow.withColumn("site", F.coalesce("at", F.when(F.col("site").isNull() | F.col("_few"), F.lit(POOL)))).filter("site is not null").select("item_id", "text_hash", "site", "hashes"))
+    loose = own.drop("site", "hashes").join(moved.filter(F.col("site") == POOL), ["item_id", "text_hash"])
+    if not loose.isEmpty():
+        loose = cut(loose)
+        pool = classed(loose).select("hash", "class").join(everywhere, "hash", "full").withColumn("class", F.coalesce("class", F.lit(0)))
+        pool = pool.withColumn("class", F.when(titled, F.col("class")).otherwise(F.col("class").bitwiseOR(F.coalesce("_p", F.lit(0))))).filter("class > 0")
+        classes = cut(classes.unionByName(pool.select(F.lit(POOL).cast("bigint").alias("site"), "hash", "class")).unionByName(link_keys(loose)))
+    return Known(classes, moved)
 
 
 def judge(lines: list[tuple | None], own_title: int | None, known: dict[int, int]) -> list[bool]:
@@ -270,21 +322,32 @@ def judge(lines: list[tuple | None], own_title: int | None, known: dict[int, int
                 if not style and own[j].line == own_title:
                     break
                 j += 1
-            if not style and j < n and own[j] is not None and not out[j] and j - i - 1 > BARE_LINKS:
-                j = i + 1 + BARE_LINKS
+            if not style and j < n and own[j] is not None and not out[j]:
+                # The list runs into a paragraph: it ends with the last title of a page, else before the last line, the paragraph's heading.
+                j = next((k + 1 for k in range(j - 1, i, -1) if of(own[k].line, TITLE)), max(j - 1, min(j, i + 2)))
             for k in range(i + 1, j):
                 out[k] = True
         i = max(j, i + 1)
     return out
 
 
-def judged(own: DataFrame, known: DataFrame) -> DataFrame:
-    """(item_id, page_id, line_no, exact, out) of the non-blank lines of each item.
+def _either(hashes: list[int], classes: list[int]) -> dict[int, int]:
+    """The classes of a hash on either of a page's sites."""
+    out: dict[int, int] = {}
+    for h, c in zip(hashes, classes):
+        out[h] = out.get(h, 0) | c
+    return out
+
 
-    The hashes of an item meet the templates in a join on the hash, not in a
-    broadcast of a set that grows with the corpus.
+def judged(own: DataFrame, known: Known) -> DataFrame:
+    """(item_id, text_hash, page_id, line_no, exact, out) of the non-blank lines of each item.
+
+    The hashes of an item meet the templates of its site in a join on both, not
+    in a broadcast of a set that grows with the corpus. The side of the
+    templates has one row a key, so Spark can split a hot key's pages.
     """
-    met = own.select("item_id", "text_hash", F.explode("hashes").alias("hash")).join(known, "hash").groupBy("item_id", "text_hash").agg(F.collect_list("hash").alias("_hash"), F.collect_list("class").alias("_class"))
+    sited = own.filter("site is not null").select("item_id", "text_hash", "site", "hashes").unionByName(known.moved)
+    met = sited.select("item_id", "text_hash", "site", F.explode("hashes").alias("hash")).join(known.classes, ["site", "hash"]).groupBy("item_id", "text_hash").agg(F.collect_list("hash").alias("_hash"), F.collect_list("class").alias("_class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,52 +356,58 @@ def judged(own: DataFrame, known: DataFrame) -> DataFrame:
                 take, no, exact, out = [], [], [], []
                 for r, (title, lines, h, c) in enumerate(zip(*(part.column(x).to_pylist() for x in ("title_hash", "lines", "_hash", "_class")))):
                     own_lines = marshal.loads(lines)
-                    for i, (x, o) in enumerate(zip(own_lines, judge(own_lines, title, dict(zip(h or [], c or []))))):
+                    for i, (x, o) in enumerate(zip(own_lines, judge(own_lines, title, _either(h or [], c or [])))):
                         if x is not None:
                             take.append(r)
                             no.append(i)
                             exact.append(x[1])
                             out.append(o)
                 index = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("item_id").take(index), part.column("page_id").take(index), pa.array(no, pa.int32()), pa.array(exact, pa.int64()), pa.array(out, pa.bool_())], names=["item_id", "page_id", "line_no", "exact", "out"])
+                yield pa.RecordBatch.from_arrays([part.column("item_id").take(index), part.column("text_hash").take(index), part.column("page_id").take(index), pa.array(no, pa.int32()), pa.array(exact, pa.int64()), pa.array(out, pa.bool_())], names=["item_id", "text_hash", "page_id", "line_no", "exact", "out"])
 
     both = own.select("item_id", "text_hash", "page_id", "title_hash", "lines").join(met, ["item_id", "text_hash"], "left")
-    return both.select("item_id", "page_id", "title_hash", "lines", "_hash", "_class").mapInArrow(run, "item_id string, page_id string, line_no int, exact bigint, out boolean")
+    return both.select("item_id", "text_hash", "page_id", "title_hash", "lines", "_hash", "_class").mapInArrow(run, "item_id string, text_hash bigint, page_id string, line_no int, exact bigint, out boolean")
 
 
 def not_body(source_docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
-    """(item_id, line_no): the lines of pages and of chunks that are not part of the body of their page.
-
-    Templates are counted over the pages. A chunk's lines are lines of its
-    page and are judged there, in their context; a line text that a page has
-    several times is out if most of its places are. A chunk with a line that
-    its page doesn't have, or without its page, is judged by itself. Null and
-    empty texts have no lines; a row delivered twice counts once.
+    """(item_id, text_hash, line_no): the lines of pages and of chunks that are not part of the body of their page.
+
+    Templates are counted over the pages of each host and used on that host
+    alone (``learn`` says what becomes of pages without one). A chunk's lines
+    are lines of its page and are judged there, in their context; a line text
+    that a page has several times is out if most of its places are. A chunk
+    with a line that its page doesn't have, or without its page, is judged by
+    itself, on its page's site or that of its url. Null and empty texts have no
+    lines; a row delivered twice counts once; an item with several texts is
+    judged in each, told apart by ``text_hash``, Spark's xxhash64 of the text.
     """
-    docs = source_docs.select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("page_id"), host_of(F.col("url")).alias("host"), "title", "text")
-    own = cut(pages(docs))
-    known = cut(templates(own))
-    of_pages = cut(judged(own, known).select("item_id", "line_no", "exact", "out"))
+    docs = source_docs.select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("page_id"), F.xxhash64(host_of(F.col("url"))).alias("_h"), host_of(F.col("url")).alias("_host"), "title", "text")
+    own = cut(pages(docs.withColumn("site", F.when(F.col("_host").isNotNull(), F.col("_h")))))
+    known = learn(own)
+    of_pages = cut(judged(own, known).select("item_id", "text_hash", "line_no", "exact", "out"))
     verdicts = of_pages.groupBy(F.col("item_id").alias("page_id"), "exact").agg((F.avg(F.col("out").cast("int")) >= 0.5).alias("out"))
-    chunks = chunk_rows.select(F.col("chunk_id").alias("item_id"), F.col("doc_id").alias("page_id"), host_of(F.col("url")).alias("host"), "title", "text")
-    lines = chunks.select("item_id", "page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "_x")).filter(F.col("_x").rlike(r"(?U)\S"))
-    lines = lines.select("item_id", "page_id", "line_no", F.xxhash64("_x").alias("exact")).join(verdicts, ["page_id", "exact"], "left")
-    lines = cut(lines.select("item_id", "line_no", "out").filter("out is null or out"))
-    first = of_pages.filter("out").select("item_id", "line_no").unionByName(lines.filter("out").select("item_id", "line_no"))
-    alone = lines.filter("out is null").select("item_id").distinct()
+    chunks = chunk_rows.select(F.col("chunk_id").alias("item_id"), F.col("doc_id").alias("page_id"), "url", "title", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    lines = chunks.select("item_id", "text_hash", "page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "_x")).filter(F.col("_x").rlike(r"(?U)\S"))
+    lines = lines.select("item_id", "text_hash", "page_id", "line_no", F.xxhash64("_x").alias("exact")).join(verdicts, ["page_id", "exact"], "left")
+    lines = cut(lines.select("item_id", "text_hash", "line_no", "out").filter("out is null or out"))
+    first = of_pages.filter("out").select("item_id", "text_hash", "line_no").unionByName(lines.filter("out").select("item_id", "text_hash", "line_no"))
+    alone = lines.filter("out is null").select("item_id", "text_hash").distinct()
     if not alone.isEmpty():
-        by_self = judged(pages(chunks.join(alone, "item_id", "left_semi")), known).filter("out").select("item_id", "line_no")
-        first = first.join(alone, "item_id", "left_anti").unionByName(by_self)
+        sites = own.filter("site is not null").select("item_id", "site").unionByName(known.moved.select("item_id", "site")).filter(F.col("site") != POOL).groupBy(F.col("item_id").alias("page_id")).agg(F.max("site").alias("_at"))
+        odd = chunks.join(alone, ["item_id", "text_hash"], "left_semi").join(sites, "page_id", "left")
+        odd = odd.withColumn("site", F.coalesce("_at", F.when(host_of(F.col("url")).isNotNull(), F.xxhash64(host_of(F.col("url")))), F.lit(POOL)))
+        by_self = judged(pages(odd), Known(known.classes, known.moved.limit(0))).filter("out").select("item_id", "text_hash", "line_no")
+        first = first.join(alone, ["item_id", "text_hash"], "left_anti").unionByName(by_self)
     return first.distinct()
 
 
 def bodies(df: DataFrame, key: str, found: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``text`` reduced to its body: the lines that ``found`` names leave, runs of blank lines become one.
+    """``df`` with ``text`` reduced to its body: the lines that ``found`` names for this very text leave, runs of blank lines become one.
 
     A text of nothing else becomes empty; null stays null.
     """
-    lines = found.groupBy("item_id").agg(F.collect_set("line_no").alias("_out")).withColumnRenamed("item_id", "_item")
-    out = df.join(lines, F.col(key) == F.col("_item"), "left")
+    lines = found.groupBy("item_id", "text_hash").agg(F.collect_set("line_no").alias("_out")).withColumnsRenamed({"item_id": "_item", "text_hash": "_hash"})
+    out = df.join(lines, (F.col(key) == F.col("_item")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")), "left")
     kept = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.coalesce(~F.array_contains("_out", s["i"]), F.lit(True)))
     body = F.regexp_replace(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"), r"\n{3,}", "\n\n")
-    return out.withColumn(text, F.regexp_replace(body, r"^\n+|\n+$", "")).drop("_out", "_item")
+    return out.withColumn(text, F.regexp_replace(body, r"^\n+|\n+$", "")).drop("_out", "_item", "_hash")

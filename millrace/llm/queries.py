@@ -15,13 +15,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of pages and chunks that aren't body."""
+    return _not_body(spark, sf_dir).select("item_id", "line_no").distinct()
+
+
+def _not_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.not_body(table(spark, sf_dir, "source_docs"), table(spark, sf_dir, "chunk_rows"))
 
 
 def p1_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' bodies, each page once."""
-    docs = table(spark, sf_dir, "source_docs").select("doc_id", "text").dropDuplicates(["doc_id"])
-    return boilerplate.bodies(docs, "doc_id", p1_found(spark, sf_dir))
+    """The pages' bodies, each page once, in its latest delivery."""
+    docs = table(spark, sf_dir, "source_docs")
+    docs = docs.groupBy("doc_id").agg(F.max(F.struct("crawled_at", "text"))["text"].alias("text"))
+    return boilerplate.bodies(docs, "doc_id", _not_body(spark, sf_dir))
 
 
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
