@@ -11,16 +11,17 @@ candidates are verified on the triples themselves.
 
 Candidates are first judged by a short sketch of independent minima, which
 lets pairs of the required similarity pass but for less than one in a million;
-the shingles are then read only for sets that a remaining pair names, found
-among all rows by a Bloom filter of fixed size.
+shingles are then made again only for sets that a remaining pair names.
 
 Exact copies (equal sets of triples) are one representative from the start.
-Variants that many representatives share don't produce all their pairs: their
-members are compared with the first member, and only what then still lies in
-different groups is compared further, so a hot group costs a number of
-comparisons in proportion to its size, and no link between groups is lost. Only
-where each record's links are counted do all members of a group that share a
-hot variant meet, in blocks.
+Variants that many representatives share don't produce all their pairs. Their
+members are compared with the first member. Members of a variant that then
+still lie in different groups may differ a lot and share only a part that is
+common (the chrome of a site): they meet where two of them share one of their
+rarest triples, so few that two sets of the required similarity can't do
+without (``rare``), an exact filter under which sets that share only what is
+common don't meet at all. Only where each record's links are counted do all
+members of a group that share a hot variant meet, in blocks.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ SEGMENTS, WIDTH = 8, 4
 #: Words of a shingle.
 WORDS = 3
 #: From so many members a variant's members meet their first member before each other.
-HOT = 32
+HOT = 16
+#: A variant is looked up as very hot, and kept out of any window, if so many of the sampled sets (one in SAMPLED) have it.
+SAMPLED, VERY_HOT = 16, 64
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +81,6 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
 
 #: Minima of a sketch, four bits of each, and how many must agree per required similarity (five standard deviations below the mean).
 SKETCH = 64
-#: 64-bit words of the Bloom filter; when it is full it only lets more through.
-BLOOM_WORDS = 1 << 17
 
 
 def _hashers(n: int, seed: int = 20250101) -> list[tuple[np.uint64, np.uint64]]:
@@ -143,33 +144,22 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.R
             yield part, *shingles(["" if t is None else t for t in part.column("text").to_pylist()], words)
 
 
-def members(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """(record_id, set_id, n, sketch) of rows (record_id, text), each combination once.
-
-    set_id stands for the set of n shingles; it is null for texts of fewer
-    words, empty and null texts, which share nothing with any other.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, at, hashed in _texts(batches, words):
-            ids, full = set_ids(at, hashed)
-            short = iter(sketches(at, hashed))
-            drawn = pa.array([next(short).tobytes() if f else None for f in full.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("record_id"), pa.array(ids, mask=~full), pa.array(np.diff(at).astype(np.int32)), drawn], names=["record_id", "set_id", "n", "sketch"])
-
-    return df.select("record_id", "text").mapInArrow(run, "record_id string, set_id bigint, n int, sketch binary").dropDuplicates(["record_id", "set_id"])
-
-
-#: Most sets that an indexing task remembers, to index copies within its rows once.
+#: Most sets that a task remembers, to index copies within its rows once.
 SEEN = 1 << 18
 
 
-def index(df: DataFrame, words: int, segments: int, width: int) -> DataFrame:
-    """(key, set_id): the one-wildcard variants of every set of shingles; copies in one partition are indexed once."""
+def members(df: DataFrame, words: int = WORDS, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
+    """(record_id, set_id, n, sketch, text_key, keys) of every row (record_id, text), in one pass over the texts.
+
+    set_id stands for the set of n shingles; it is null for texts of fewer
+    words, empty and null texts, which share nothing with any other. keys are
+    the one-wildcard variants of the set's signature; of copies in one
+    partition the first has them. text_key is Spark's xxhash64 of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, at, hashed in _texts(batches, words):
+        for part, at, hashed in _texts(batches, words):
             ids, full = set_ids(at, hashed)
             new = full.copy()
             for i in np.flatnonzero(full).tolist():
@@ -179,74 +169,48 @@ def index(df: DataFrame, words: int, segments: int, width: int) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(k)
-            if new.any():
-                keys = variants(signatures(at, hashed, segments, width)[new[full]], segments, width)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(ids[new], segments * width))], names=["key", "set_id"])
-
-    return df.select("text").mapInArrow(run, "key bigint, set_id bigint")
-
+            short = iter(sketches(at, hashed))
+            drawn = pa.array([next(short).tobytes() if f else None for f in full.tolist()], pa.binary())
+            keys = variants(signatures(at, hashed, segments, width)[new[full]], segments, width).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(new)]).astype(np.int32) * (segments * width)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("record_id"), pa.array(ids, mask=~full), pa.array(np.diff(at).astype(np.int32)), drawn, part.column("text_key"), lists], names=["record_id", "set_id", "n", "sketch", "text_key", "keys"])
 
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids, two bits each, built by Spark in at most BLOOM_WORDS rows."""
-    h = F.explode(F.array(F.xxhash64("set_id", F.lit(1)), F.xxhash64("set_id", F.lit(2)))).alias("h")
-    word, bit = F.pmod(F.shiftrightunsigned("h", 6), F.lit(BLOOM_WORDS)), F.expr("shiftleft(1L, cast(h & 63 as int))")
-    rows = ids.select(h).groupBy(word.cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
-    out = np.zeros(BLOOM_WORDS, np.int64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return out
+    return df.select("record_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "record_id string, set_id bigint, n int, sketch binary, text_key bigint, keys array<bigint>")
 
 
 def shingle_sets(df: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """(set_id, shingles) of the texts whose set_id is wanted, each set once."""
-    bits = df.sparkSession.sparkContext.broadcast(bloom(wanted))
+    """(set_id, shingles) of the wanted (set_id, text_key), each set once.
+
+    The texts meet what is wanted in a join on their hash, which Spark plans by
+    its size (a broadcast, or a shuffle behind its own runtime filter); only
+    texts that pass are cut into shingles again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, at, hashed in _texts(batches, words):
-            ids, full = set_ids(at, hashed)
-            hit = full.copy()
-            for seed in (1, 2):
-                h = xxhash64_of_long(ids, seed)
-                words_ = ((h >> np.uint64(6)).astype(np.int64)) % BLOOM_WORDS
-                hit &= (bits.value[words_].view(np.uint64) >> (h & np.uint64(63))) & np.uint64(1) == 1
-            rows = np.flatnonzero(hit)
+        for part, at, hashed in _texts(batches, words):
+            ids, _ = set_ids(at, hashed)
+            rows = np.flatnonzero(ids == part.column("set_id").to_numpy())
             if len(rows):
                 size = np.diff(at)[rows]
                 flat = hashed[S.flat_ranges(at[rows], size)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), lists], names=["set_id", "shingles"])
 
-    some = df.select("text").mapInArrow(run, "set_id bigint, shingles array<bigint>")
-    return some.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
-
-
-def xxhash64_of_long(ids: np.ndarray, seed: int) -> np.ndarray:
-    """Spark's xxhash64(bigint, int) of every id, so that both sides of the filter agree."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    some = df.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key").select("set_id", "text")
+    return some.mapInArrow(run, "set_id bigint, shingles array<bigint>").dropDuplicates(["set_id"])
 
-    def rotl(x: np.ndarray, r: int) -> np.ndarray:
-        return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
-    def final(h: np.ndarray) -> np.ndarray:
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return h ^ (h >> np.uint64(32))
+def drawn_of(sets: DataFrame) -> DataFrame:
+    """(set_id, n, sketch, text_key), each set once."""
+    return sets.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("text_key").alias("text_key"))
 
-    with np.errstate(over="ignore"):
-        x = ids.view(np.uint64)
-        h = np.full(len(x), np.uint64(42) + p5 + np.uint64(8), np.uint64)
-        h = rotl(h ^ (rotl(x * p2, 31) * p1), 27) * p1 + p4
-        h = final(h)  # the seed of the second column
-        h = h + p5 + np.uint64(4)
-        h = rotl(h ^ (np.uint64(seed) * p1), 23) * p2 + p3
-        return final(h)
 
-
-def verified(pairs: DataFrame, df: DataFrame, sets: DataFrame, least: float, words: int) -> DataFrame:
+def verified(pairs: DataFrame, df: DataFrame, drawn: DataFrame, least: float, words: int) -> DataFrame:
     """The pairs (a, b) of set_ids whose shared shingles are at least ``least`` of all shingles of either."""
-    drawn = sets.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = pairs.join(drawn.select(F.col("set_id").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_ka")), "a")
-    near = near.join(drawn.select(F.col("set_id").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_kb")), "b")
-    near = near.filter(F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9).select("a", "b", "_ka", "_kb")
+    near = pairs.join(drawn.select(F.col("set_id").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_ka"), F.col("text_key").alias("ta")), "a")
+    near = near.join(drawn.select(F.col("set_id").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_kb"), F.col("text_key").alias("tb")), "b")
+    near = near.filter(F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9).select("a", "b", "ta", "tb", "_ka", "_kb")
     enough = agreeing(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +219,10 @@ def verified(pairs: DataFrame, df: DataFrame, sets: DataFrame, least: float, wor
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_ka", "_kb"))
                 z = x ^ y
                 same = ((z & 15) == 0).sum(axis=1) + ((z >> 4) == 0).sum(axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(same >= enough))
+                yield batch.select(["a", "b", "ta", "tb"]).filter(pa.array(same >= enough))
 
-    near = cut(near.mapInArrow(run, "a bigint, b bigint"))
-    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    near = cut(near.mapInArrow(run, "a bigint, b bigint, ta bigint, tb bigint"))
+    wanted = near.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.col("ta").alias("text_key")), F.struct(F.col("b").alias("set_id"), F.col("tb").alias("text_key")))).alias("w")).select("w.*").distinct()
     own = shingle_sets(df, words, wanted)
     ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("set_id"))
     both = ends.join(own, "set_id").groupBy("a", "b").agg(F.collect_list("shingles").alias("_s")).filter(F.size("_s") == 2)
@@ -267,10 +231,34 @@ def verified(pairs: DataFrame, df: DataFrame, sets: DataFrame, least: float, wor
     return both.filter(shared >= F.lit(least) * (na + nb - shared) - 1e-9).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def rare(own: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: the sets (set_id, g, shingles) of different groups g that share one of their rarest shingles.
+
+    Two sets of similarity ``least`` share at least ``least`` of the longer
+    one's shingles and 2 least / (1 + least) of the shorter one's. So, in any
+    one order of all shingles, the first of the longer and the first of the
+    shorter, by as many as may be missing and one more, have a shingle in
+    common. The order is rarest first, by how many of these sets have a
+    shingle: what all sets share comes last and makes no candidates.
+    """
+    one = own.select("set_id", F.explode("shingles").alias("shingle"))
+    often = one.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    # Shingles of one set come first and meet nothing; they only take up places.
+    known = one.join(often, "shingle").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    known = known.join(own.select("set_id", "g", F.size("shingles").alias("n")), "set_id")
+    first = lambda share: F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - (F.col("n") - F.size("s"))).cast("int")
+    part = lambda share: F.explode(F.slice("s", F.lit(1), first(share))["shingle"])
+    known = cut(known)
+    short = known.select(F.col("set_id").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), part(2 * least / (1 + least)).alias("shingle"))
+    long = known.select(F.col("set_id").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), part(least).alias("shingle"))
+    met = short.join(long, "shingle").filter((F.col("ga") != F.col("gb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.lit(least) * F.col("nb") - 1e-9))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, group): the least node of each connected component of links (a, b); nodes without links are absent.
 
-    Alternating large and small stars: every node's larger neighbours, then
+    Alternating large and small stars until nothing is left to do: every node's larger neighbours, then
     its smaller ones, are linked to the least node known. The edges are written
     to the shared checkpoint folder each round, and only a count comes to the
     driver.
@@ -278,7 +266,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("group"))
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -344,7 +332,7 @@ def linked(block: np.ndarray, i: int, j: int, keys: list[np.ndarray], drawn: np.
     return out
 
 
-def degrees(links: DataFrame, hot: DataFrame, groups: DataFrame, df: DataFrame, sets: DataFrame, least: float, words: int) -> DataFrame:
+def degrees(links: DataFrame, hot: DataFrame, groups: DataFrame, df: DataFrame, drawn: DataFrame, least: float, words: int) -> DataFrame:
     """(node, n_links): the number of links of every set that has one.
 
     Links between members of one hot variant (``hot``: key, set_id) are counted
@@ -352,12 +340,11 @@ def degrees(links: DataFrame, hot: DataFrame, groups: DataFrame, df: DataFrame,
     shares; only the counts leave a block. All other links are in ``links``.
     """
     keys = hot.join(groups, hot.set_id == groups.node).groupBy("group", "set_id").agg(F.collect_set("key").alias("keys"))
-    drawn = sets.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     keys = cut(keys.join(drawn, "set_id"))
     size = keys.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("_n")).filter("m > 1")
     size = size.select("group", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     meeting = keys.join(size, "group")
-    own = shingle_sets(df, words, cut(meeting.select("set_id")))
+    own = shingle_sets(df, words, meeting.select("set_id", "text_key"))
     meeting = meeting.join(own, "set_id").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(3)), "blocks").cast("int"))
     meeting = meeting.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meeting = meeting.select("group", F.least("block", "_x").alias("i"), F.greatest("block", "_x").alias("j"), "block", "set_id", "keys", "sketch", "shingles")
@@ -387,36 +374,43 @@ def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int =
     several texts has a row for each. Extra columns are ignored. Two different
     sets of shingles are taken for one only if their 64-bit hashes agree.
     """
-    sets = cut(members(df, words))
-    # Count and least member of every variant in one shuffle; the window streams and spills.
+    rows = cut(members(df, words, segments, width))
+    sets = rows.select("record_id", "set_id").distinct()
+    drawn = cut(drawn_of(rows))
+    index = rows.select(F.explode("keys").alias("key"), "set_id")
+    # Variants of very many sets stay out of the window below; which way a variant goes changes no result.
+    very = index.filter(F.pmod(F.xxhash64("set_id"), F.lit(SAMPLED)) == 0).groupBy("key").count().filter(F.col("count") >= VERY_HOT).select("key")
+    very = cut(very)
     same = W.Window.partitionBy("key")
-    shared = index(df, words, segments, width).withColumn("n", F.count("*").over(same)).filter("n > 1").withColumn("first", F.min("set_id").over(same))
+    shared = index.join(very, "key", "left_anti").withColumn("n", F.count("*").over(same)).filter("n > 1").withColumn("first", F.min("set_id").over(same))
     few = shared.filter(F.col("n") <= HOT).groupBy("key").agg(F.array_sort(F.collect_set("set_id")).alias("ids"))
-    few = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(HOT))).alias("b"), F.lit(False).alias("hot"))
-    star = shared.filter((F.col("n") > HOT) & (F.col("set_id") != F.col("first"))).select(F.col("first").alias("a"), F.col("set_id").alias("b"), F.lit(True).alias("hot"))
-    met = few.unionByName(star).groupBy("a", "b").agg(F.max("hot").alias("hot"))
-    # Members of hot variants are kept beside the candidates (no hot mark), so that they needn't be indexed again.
-    own = shared.filter(F.col("n") > HOT).select(F.col("key").alias("a"), F.col("set_id").alias("b"), F.lit(None).cast("boolean").alias("hot")).distinct()
-    both = cut(met.unionByName(own))
-    met = both.filter("hot is not null")
-    links = cut(verified(met.select("a", "b"), df, sets, least, words))
+    few = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(HOT))).alias("b"), F.lit(None).cast("bigint").alias("key"))
+    hot = shared.filter(F.col("n") > HOT).select(F.col("first").alias("a"), F.col("set_id").alias("b"), "key")
+    if not very.isEmpty():
+        there = index.join(very, "key", "left_semi")
+        hot = hot.unionByName(there.join(there.groupBy("key").agg(F.min("set_id").alias("a")), "key").select("a", F.col("set_id").alias("b"), "key"))
+    # Members of hot variants are kept (with their key) beside the candidates, so that they needn't be indexed again.
+    both = cut(few.unionByName(hot).distinct())
+    links = cut(verified(both.filter("a <> b").select("a", "b").distinct(), df, drawn, least, words))
     groups = components(links)
-    hot = None
-    if not met.filter("hot").isEmpty():
-        hot = both.filter("hot is null").select(F.col("a").alias("key"), F.col("b").alias("set_id"))
-        # Members of hot variants that lie in different groups meet, group against group.
+    hot = both.filter("key is not null").select("key", F.col("b").alias("set_id"))
+    heated = not hot.isEmpty()
+    if heated:
+        groups = cut(groups)
+        # Members of hot variants that still lie in different groups meet by their rarest shingles.
         own = hot.join(groups, hot.set_id == groups.node, "left").select("key", "set_id", F.coalesce("group", "set_id").alias("g"))
         mixed = own.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("key")
-        own = cut(own.join(mixed, "key", "left_semi"))
-        other = own.select("key", F.col("set_id").alias("b"), F.col("g").alias("h"))
-        cross = own.join(other, "key").filter("g < h").select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
-        links = cut(links.unionByName(verified(cut(cross), df, sets, least, words)).distinct())
-        groups = components(links)
+        own = own.join(mixed, "key", "left_semi").groupBy("set_id").agg(F.first("g").alias("g")).join(drawn.select("set_id", "text_key"), "set_id")
+        own = cut(own)
+        if not own.isEmpty():
+            apart = cut(own.join(shingle_sets(df, words, own.select("set_id", "text_key")), "set_id"))
+            links = cut(links.unionByName(verified(rare(apart, least), df, drawn, least, words)).distinct())
+            groups = components(links)
     out = sets.select("record_id", F.col("set_id").alias("node")).join(groups, "node", "left")
     if not count_links:
         return out.select("record_id", F.coalesce("group", "node").alias("group_id"))
-    if hot is not None:
-        degree = degrees(links, hot, groups, df, sets, least, words)
+    if heated:
+        degree = degrees(links, hot, groups, df, drawn, least, words)
     else:
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     return out.join(degree, "node", "left").select("record_id", F.coalesce("group", "node").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -126,10 +126,44 @@ def test_nothing(spark):
     assert nd.group(df).count() == 0 and nd.pairs(nd.group(df)).count() == 0
 
 
-def test_bloom_hash_is_sparks(spark):
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    ids = [0, 1, -1, 2**62, -(2**63)]
-    d = spark.createDataFrame([(i,) for i in ids], "set_id bigint").select(F.xxhash64("set_id", F.lit(2)).alias("h"))
-    assert nd.xxhash64_of_long(np.array(ids), 2).view(np.int64).tolist() == [x.h for x in d.collect()]
+def chrome(n, seed=8):
+    """n texts that share 60 of their 100 words and are linked with no other."""
+    r = random.Random(seed)
+    shared = [f"c{k}" for k in range(60)]
+    return [(f"r{i}", " ".join([*shared, *(f"o{r.randrange(10**6)}" for _ in range(40))])) for i in range(n)]
+
+
+def judged(spark, monkeypatch, rows, **how):
+    """(rows of the result, pairs that were judged)."""
+    seen, real = [], nd.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(nd, "verified", counted)
+    out = nd.group(spark.createDataFrame(rows, "record_id string, text string"), **how).collect()
+    monkeypatch.setattr(nd, "verified", real)
+    return out, sum(seen)
+
+
+def test_shared_chrome_costs_in_proportion(spark, monkeypatch):
+    """Texts that share most of their words, but not enough, don't meet in all pairs; very hot variants neither."""
+    few = judged(spark, monkeypatch, chrome(600), count_links=False)
+    many = judged(spark, monkeypatch, chrome(1800), count_links=False)
+    monkeypatch.setattr(nd, "VERY_HOT", 2)
+    assert many[1] <= 4 * few[1] < 600 * 599 / 2
+    assert len({x.group_id for x in many[0]}) == 1800
+    assert judged(spark, monkeypatch, chrome(1800), count_links=False)[1] <= many[1]
+
+
+def test_links_between_members_that_the_first_rejects(spark, monkeypatch):
+    """Pairs that are linked only with each other among many that share a hot variant are found by their rarest shingles."""
+    rows = chrome(400)
+    r = random.Random(2)
+    twins = [(f"t{i}", " ".join(edited(r, t.split()[:60] + t.split()[60:], 1))) for i, (_, t) in enumerate(rows[:60])]
+    for very in (64, 2):
+        monkeypatch.setattr(nd, "VERY_HOT", very)
+        got = {tuple(x) for x in nd.pairs(nd.group(spark.createDataFrame(rows + twins, "record_id string, text string"), count_links=False)).collect()}
+        want = brute(rows + twins)
+        assert len(want) >= 55 and got <= want and len(got) >= 0.98 * len(want)
