@@ -11,7 +11,8 @@ candidates are verified on the triples themselves.
 
 Candidates are first judged by a short sketch of independent minima, which
 lets pairs of the required similarity pass but for less than one in a million;
-shingles are then made again only for sets that a remaining pair names.
+shingles are then made again only for sets that a remaining pair names, found
+among all texts by a Bloom filter sized by their number.
 
 Exact copies (equal sets of triples) are one representative from the start.
 Variants that many representatives share don't produce all their pairs. Their
@@ -27,7 +28,7 @@ members of a group that share a hot variant meet, in blocks.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ SEGMENTS, WIDTH = 8, 4
 #: Words of a shingle.
 WORDS = 3
 #: From so many members a variant's members meet their first member before each other.
-HOT = 16
+HOT = 32
 #: A variant is looked up as very hot, and kept out of any window, if so many of the sampled sets (one in SAMPLED) have it.
 SAMPLED, VERY_HOT = 16, 64
 
@@ -179,26 +180,55 @@ def members(df: DataFrame, words: int = WORDS, segments: int = SEGMENTS, width:
     return df.select("record_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "record_id string, set_id bigint, n int, sketch binary, text_key bigint, keys array<bigint>")
 
 
+#: Bits of the filter per wanted text (three are set: one text in a hundred passes unwanted), and most bits of it: 16 MB, for 11 million texts.
+#: Beyond it the filter lets more through; what passes unwanted is dropped by a join.
+BITS, MOST_BITS = 12, 27
+
+
+def bloom(wanted: DataFrame) -> np.ndarray:
+    """The Bloom filter of the wanted text_keys, sized by their number: words of 64 bits, a power of two of them."""
+    n = wanted.count()
+    m = min(MOST_BITS, max(10, int(n * BITS).bit_length()))
+    at = F.explode(F.array(*(F.shiftrightunsigned("text_key", k).bitwiseAND((1 << m) - 1) for k in (0, 18, 36))))
+    word = F.shiftright("at", 6).cast("int").alias("w")
+    rows = wanted.select(at.alias("at")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (m - 6), np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return out
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter."""
+    x, words = keys.view(np.uint64), bits.view(np.uint64)
+    out = np.ones(len(x), bool)
+    for k in (0, 18, 36):
+        at = (x >> np.uint64(k)) & np.uint64(64 * len(words) - 1)
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
 def shingle_sets(df: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """(set_id, shingles) of the wanted (set_id, text_key), each set once.
 
-    The texts meet what is wanted in a join on their hash, which Spark plans by
-    its size (a broadcast, or a shuffle behind its own runtime filter); only
-    texts that pass are cut into shingles again.
+    Texts don't move for it: where they are read, those whose hash a filter
+    knows are cut into shingles again.
     """
+    bits = df.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, at, hashed in _texts(batches, words):
-            ids, _ = set_ids(at, hashed)
-            rows = np.flatnonzero(ids == part.column("set_id").to_numpy())
-            if len(rows):
-                size = np.diff(at)[rows]
-                flat = hashed[S.flat_ranges(at[rows], size)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), lists], names=["set_id", "shingles"])
+        for batch in batches:
+            some = batch.filter(pa.array(maybe(bits.value, batch.column("text_key").to_numpy())))
+            for _, at, hashed in _texts(iter([some]), words):
+                ids, full = set_ids(at, hashed)
+                rows = np.flatnonzero(full)
+                if len(rows):
+                    size = np.diff(at)[rows]
+                    flat = hashed[S.flat_ranges(at[rows], size)].view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), lists], names=["set_id", "shingles"])
 
-    some = df.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key").select("set_id", "text")
-    return some.mapInArrow(run, "set_id bigint, shingles array<bigint>").dropDuplicates(["set_id"])
+    some = df.filter("text is not null").select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "set_id bigint, shingles array<bigint>")
+    return some.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def drawn_of(sets: DataFrame) -> DataFrame:
@@ -206,11 +236,11 @@ def drawn_of(sets: DataFrame) -> DataFrame:
     return sets.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("text_key").alias("text_key"))
 
 
-def verified(pairs: DataFrame, df: DataFrame, drawn: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs (a, b) of set_ids whose shared shingles are at least ``least`` of all shingles of either."""
-    near = pairs.join(drawn.select(F.col("set_id").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_ka"), F.col("text_key").alias("ta")), "a")
-    near = near.join(drawn.select(F.col("set_id").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_kb"), F.col("text_key").alias("tb")), "b")
-    near = near.filter(F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9).select("a", "b", "ta", "tb", "_ka", "_kb")
+def verified(pairs: DataFrame, drawn: DataFrame, least: float, shingles: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (a, b) of set_ids whose shared shingles are at least ``least`` of all shingles of either; ``shingles`` gives those of wanted sets."""
+    near = pairs.join(drawn.select(F.col("set_id").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_ka")), "a")
+    near = near.join(drawn.select(F.col("set_id").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_kb")), "b")
+    near = near.filter(F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9).select("a", "b", "_ka", "_kb")
     enough = agreeing(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +249,10 @@ def verified(pairs: DataFrame, df: DataFrame, drawn: DataFrame, least: float, wo
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_ka", "_kb"))
                 z = x ^ y
                 same = ((z & 15) == 0).sum(axis=1) + ((z >> 4) == 0).sum(axis=1)
-                yield batch.select(["a", "b", "ta", "tb"]).filter(pa.array(same >= enough))
+                yield batch.select(["a", "b"]).filter(pa.array(same >= enough))
 
-    near = cut(near.mapInArrow(run, "a bigint, b bigint, ta bigint, tb bigint"))
-    wanted = near.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.col("ta").alias("text_key")), F.struct(F.col("b").alias("set_id"), F.col("tb").alias("text_key")))).alias("w")).select("w.*").distinct()
-    own = shingle_sets(df, words, wanted)
+    near = cut(near.mapInArrow(run, "a bigint, b bigint"))
+    own = shingles(cut(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(drawn.select("set_id", "text_key"), "set_id")))
     ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("set_id"))
     both = ends.join(own, "set_id").groupBy("a", "b").agg(F.collect_list("shingles").alias("_s")).filter(F.size("_s") == 2)
     na, nb = F.size(F.col("_s")[0]), F.size(F.col("_s")[1])
@@ -241,12 +270,13 @@ def rare(own: DataFrame, least: float) -> DataFrame:
     common. The order is rarest first, by how many of these sets have a
     shingle: what all sets share comes last and makes no candidates.
     """
-    one = own.select("set_id", F.explode("shingles").alias("shingle"))
+    # Half of a hash stands for a shingle: what collides makes a candidate more, and one place more covers a set that it shortens.
+    one = own.select("set_id", F.explode(F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")))).alias("shingle"))
     often = one.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     # Shingles of one set come first and meet nothing; they only take up places.
     known = one.join(often, "shingle").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     known = known.join(own.select("set_id", "g", F.size("shingles").alias("n")), "set_id")
-    first = lambda share: F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - (F.col("n") - F.size("s"))).cast("int")
+    first = lambda share: F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 2 - (F.col("n") - F.size("s"))).cast("int")
     part = lambda share: F.explode(F.slice("s", F.lit(1), first(share))["shingle"])
     known = cut(known)
     short = known.select(F.col("set_id").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), part(2 * least / (1 + least)).alias("shingle"))
@@ -344,7 +374,7 @@ def degrees(links: DataFrame, hot: DataFrame, groups: DataFrame, df: DataFrame,
     size = keys.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("_n")).filter("m > 1")
     size = size.select("group", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     meeting = keys.join(size, "group")
-    own = shingle_sets(df, words, meeting.select("set_id", "text_key"))
+    own = shingle_sets(df, words, cut(meeting.select("set_id", "text_key")))
     meeting = meeting.join(own, "set_id").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(3)), "blocks").cast("int"))
     meeting = meeting.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meeting = meeting.select("group", F.least("block", "_x").alias("i"), F.greatest("block", "_x").alias("j"), "block", "set_id", "keys", "sketch", "shingles")
@@ -391,7 +421,7 @@ def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int =
         hot = hot.unionByName(there.join(there.groupBy("key").agg(F.min("set_id").alias("a")), "key").select("a", F.col("set_id").alias("b"), "key"))
     # Members of hot variants are kept (with their key) beside the candidates, so that they needn't be indexed again.
     both = cut(few.unionByName(hot).distinct())
-    links = cut(verified(both.filter("a <> b").select("a", "b").distinct(), df, drawn, least, words))
+    links = cut(verified(both.filter("a <> b").select("a", "b").distinct(), drawn, least, lambda wanted: shingle_sets(df, words, wanted)))
     groups = components(links)
     hot = both.filter("key is not null").select("key", F.col("b").alias("set_id"))
     heated = not hot.isEmpty()
@@ -404,7 +434,7 @@ def group(df: DataFrame, least: float = 0.7, words: int = WORDS, segments: int =
         own = cut(own)
         if not own.isEmpty():
             apart = cut(own.join(shingle_sets(df, words, own.select("set_id", "text_key")), "set_id"))
-            links = cut(links.unionByName(verified(rare(apart, least), df, drawn, least, words)).distinct())
+            links = cut(links.unionByName(verified(rare(apart, least), drawn, least, lambda _: apart.select("set_id", "shingles"))).distinct())
             groups = components(links)
     out = sets.select("record_id", F.col("set_id").alias("node")).join(groups, "node", "left")
     if not count_links:
