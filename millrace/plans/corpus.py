@@ -11,15 +11,14 @@ from ..operators import chunking
 from ..runtime import table
 from .registry import query
 
+_BLANKS = "'" + chunking.BLANKS + "'"
 #: Chunks of 512 characters with 50 shared, as DuckDB makes them; a prefix of other queries' SQL.
-CHUNKS_SQL = r"""
-d AS (SELECT doc_id, source, text AS t, length(text) AS n FROM documents WHERE length(text) > 0),
-w AS (SELECT doc_id, source, t, n, unnest(range(0, 1 + CAST(ceil(greatest(0, n - 512) / 462.0) AS BIGINT))) AS draft_no FROM d),
-s AS (SELECT doc_id, source, draft_no, draft_no * 462 AS raw_start, least(draft_no * 462 + 512, n) AS raw_end, substring(t, CAST(draft_no * 462 + 1 AS BIGINT), 512) AS piece FROM w),
-chunks AS (SELECT doc_id, source, draft_no, raw_start, raw_end, trim(piece, E' \t\n\r') AS chunk_text,
-  raw_start + length(piece) - length(ltrim(piece, E' \t\n\r')) AS start_pos,
-  raw_start + length(piece) - length(ltrim(piece, E' \t\n\r')) + length(trim(piece, E' \t\n\r')) AS end_pos
-  FROM s WHERE length(trim(piece, E' \t\n\r')) > 0)
+CHUNKS_SQL = f"""
+doc_ AS (SELECT doc_id, source, length(text) AS whole, length(text) - length(ltrim(text, {_BLANKS})) AS ahead, trim(text, {_BLANKS}) AS t FROM documents WHERE length(trim(text, {_BLANKS})) > 0),
+win_ AS (SELECT *, unnest(range(0, 1 + CAST(ceil(greatest(0, length(t) - 512) / 462.0) AS BIGINT))) * 462 AS pos FROM doc_),
+piece_ AS (SELECT *, substring(t, CAST(pos + 1 AS BIGINT), 512) AS piece FROM win_),
+cut_ AS (SELECT *, ahead + pos + length(piece) - length(ltrim(piece, {_BLANKS})) AS start_pos, trim(piece, {_BLANKS}) AS chunk_text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS draft_no, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM piece_ WHERE length(trim(piece, {_BLANKS})) > 0),
+chunks AS (SELECT doc_id, source, draft_no, CASE WHEN draft_no = 0 THEN 0 ELSE ahead + pos END AS raw_start, CASE WHEN following IS NULL THEN whole ELSE ahead + greatest(pos + 512, following) END AS raw_end, chunk_text, start_pos, start_pos + length(chunk_text) AS end_pos FROM cut_)
 """
 TOKENS_SQL = "'[가-힣]+|[a-z][a-z0-9_+./-]*|[0-9]+(/[0-9]+)?'"
 
@@ -36,18 +35,24 @@ def chk01_fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + CHUNKS_SQL + r""", h AS (SELECT *, sha256(chunk_text) AS text_hash FROM chunks),
-k AS (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY doc_id, draft_no) AS r FROM h),
-v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY draft_no) - 1 AS chunk_index FROM k WHERE r = 1),
-tw AS (SELECT text_hash, count(*) AS n_twins, string_agg(doc_id || ':' || start_pos || '-' || end_pos, ',' ORDER BY doc_id, draft_no) AS twins FROM k WHERE r > 1 GROUP BY 1)
-SELECT v.doc_id || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(3, length(CAST(chunk_index AS VARCHAR))) AS INTEGER), '0') AS chunk_id, v.doc_id, chunk_index, start_pos, end_pos, coalesce(n_twins, 0) AS n_twins, coalesce(twins, '') AS twins
-FROM v LEFT JOIN tw USING (text_hash)""")
+k2 AS (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY doc_id, draft_no) AS r, count(*) OVER (PARTITION BY text_hash) - 1 AS n_twins FROM h),
+v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY draft_no) - 1 AS chunk_index FROM k2 WHERE r = 1)
+SELECT v.doc_id || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(3, length(CAST(chunk_index AS VARCHAR))) AS INTEGER), '0') AS chunk_id, v.doc_id, chunk_index, start_pos, end_pos, n_twins FROM v""")
 def ddp03_chunk_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks deduplicated within and across documents, renumbered, with the places of their dropped twins."""
+    """Chunks deduplicated within and across documents, renumbered, with the number of their dropped twins."""
     keep, twins = chunking.dedup(chunks(spark, sf_dir), ["doc_id", "draft_no"])
-    place = F.concat_ws(":", "doc_id", F.concat_ws("-", "start_pos", "end_pos"))
-    spans = twins.groupBy("text_hash").agg(F.count("*").alias("n_twins"), F.array_sort(F.collect_list(F.struct("doc_id", "draft_no", place.alias("p")))).alias("t"))
-    out = chunking.number(keep, "doc_id", ["draft_no"]).join(spans, "text_hash", "left")
-    return out.select("chunk_id", "doc_id", "chunk_index", "start_pos", "end_pos", F.coalesce("n_twins", F.lit(0)).alias("n_twins"), F.coalesce(F.array_join("t.p", ","), F.lit("")).alias("twins"))
+    n = twins.groupBy("text_hash").agg(F.count("*").alias("n_twins"))
+    out = chunking.number(keep, "doc_id", ["draft_no"]).join(n, "text_hash", "left")
+    return out.select("chunk_id", "doc_id", "chunk_index", "start_pos", "end_pos", F.coalesce("n_twins", F.lit(0)).alias("n_twins"))
+
+
+@query("WITH" + CHUNKS_SQL + r""", h AS (SELECT *, sha256(chunk_text) AS text_hash FROM chunks), k2 AS (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY doc_id, draft_no) AS r FROM h)
+SELECT t.doc_id, t.raw_start, t.raw_end, s.doc_id AS kept_doc_id, s.draft_no AS kept_draft_no FROM k2 t JOIN k2 s ON s.text_hash = t.text_hash AND s.r = 1 WHERE t.r > 1""")
+def ddp04_twin_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the dropped twins of a chunk stood before trimming, a row each; a text's survivor is one row, so Spark can split its twins."""
+    keep, twins = chunking.dedup(chunks(spark, sf_dir), ["doc_id", "draft_no"])
+    keep = keep.select("text_hash", F.col("doc_id").alias("kept_doc_id"), F.col("draft_no").alias("kept_draft_no"))
+    return twins.join(keep, "text_hash").select("doc_id", "raw_start", "raw_end", "kept_doc_id", "kept_draft_no")
 
 
 @query("""SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS n_copies, count(*) - 1 AS skipped FROM documents WHERE text IS NOT NULL GROUP BY 1""")

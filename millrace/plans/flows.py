@@ -46,20 +46,21 @@ def chk03_recursive_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "raw_docs").groupBy("doc_id").agg(F.max_by("content", "ingested_at").alias("content"))
+    last = F.max(F.struct("ingested_at", "content", F.col("metadata")["document_type"].alias("declared"))).alias("d")
+    d = table(spark, sf_dir, "raw_docs").groupBy("doc_id").agg(last).select("doc_id", "d.content", preprocess.document_type(F.col("d.declared")).alias("kind"))
     return d.withColumn("content", preprocess.normalise_document(F.col("content")))
 
 
 @query()
 def chk04_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sections of markdown headings, over normalised documents."""
-    return chunking.chunk(_normalised(spark, sf_dir), "doc_id", "content", "markdown")
+    return chunking.chunk(_normalised(spark, sf_dir), "doc_id", "content", "markdown", kind="kind")
 
 
 @query()
 def chk05_markdown_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy chunks within the sections of markdown headings, over normalised documents."""
-    return chunking.chunk(_normalised(spark, sf_dir), "doc_id", "content", "markdown_recursive")
+    return chunking.chunk(_normalised(spark, sf_dir), "doc_id", "content", "markdown_recursive", kind="kind")
 
 
 @query()

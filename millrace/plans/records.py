@@ -132,10 +132,12 @@ def agg08_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("qtype", "probes", F.round("rc", 6).alias("mean_recall"), F.round("f", 6).alias("mean_f1"), F.round("quality", 6).alias("quality"), F.round("rel", 6).alias("reliability"), F.round(report.harmonic([c("quality"), c("rel")]), 6).alias("composite"))
 
 
-_PRESC = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {o}, '{x}', '{p}', '{v}', {str(r).lower()})" for a, o, x, p, v, r in optimize.PRESCRIPTIONS) + ") t(label, o, action, path, value, reindex))"
-_ACT = _F + ", " + _PRESC + """, su AS (SELECT action, path, value, reindex, f.label, grp, probe_id, CASE WHEN confirmed THEN 1.0 ELSE 0.5 END AS conf FROM findings f JOIN pr ON pr.label = f.label),
+_quoted = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool | int) else f"[{', '.join(map(_quoted, x))}]::VARCHAR[]" if isinstance(x, list) else f"'{x}'"
+_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in optimize.prescription_rows()) + ") t(label, grp, status, metric, ord, action, path, value, reindex, ready, topics))"
+_PRESC = _RULES + ", pr AS (SELECT * FROM rules WHERE status = 'ready' AND ready)"
+_ACT = _F + ", " + _PRESC + """, su AS (SELECT action, path, value, reindex, f.label, pr.grp, probe_id, CASE WHEN confirmed THEN 1.0 ELSE 0.5 END AS conf FROM findings f JOIN pr ON pr.label = f.label),
 pp AS (SELECT action, path, value, reindex, probe_id, max(conf) AS c, min(CASE grp WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'B' THEN 2 ELSE 3 END) AS tier FROM su GROUP BY 1, 2, 3, 4, 5),
-ac AS (SELECT action, path, value, count(*) AS probes, sum(c) AS support, min(tier) AS tier, CASE WHEN reindex THEN 3 ELSE 1 END AS cost, sum(c) / CASE WHEN reindex THEN 3 ELSE 1 END AS score FROM pp GROUP BY 1, 2, 3, reindex)
+ac AS (SELECT action, path, value, count(*) AS probes, sum(c) AS support, min(tier) AS tier, CASE WHEN reindex THEN 3 ELSE 1 END AS cost, sum(c) / CASE WHEN reindex THEN 3 ELSE 1 END AS score, reindex AS reindex_ FROM pp GROUP BY 1, 2, 3, reindex)
 """
 
 
@@ -155,6 +157,54 @@ def opt11_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimize.choose(a).select("place", "action", "path", "value", "state", "tier", F.round("score", 6).alias("score"), "probes")
 
 
+@query("WITH" + _F + ", " + _PRESC + """, t AS (SELECT label, probe_id, CASE probe_id::INT % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'spread' WHEN 2 THEN 'unmeasured' END AS topic FROM findings),
+sg AS (SELECT label, arg_min(topic, probe_id) FILTER (WHERE topic <> 'unmeasured') AS signal FROM t GROUP BY 1),
+k AS (SELECT pr.*, len(topics) = 0 OR signal IS NULL OR list_contains(topics, signal) AS fits FROM pr JOIN sg USING (label)), m AS (SELECT *, bool_or(fits) OVER (PARTITION BY label) AS any_ FROM k)
+SELECT label, ord, action, path, value FROM m WHERE fits OR NOT any_""")
+def opt04_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prescriptions of each label that was found, for its topic where one was measured."""
+    f = diagnose.diagnose(records(spark, sf_dir))
+    n = F.pmod(F.col("probe_id").cast("int"), F.lit(4))
+    f = f.withColumn("topic_cluster", F.when(n == 0, "none").when(n == 1, "spread").when(n == 2, "unmeasured"))
+    return optimize.applicable(f, consume=True).select("label", "ord", "action", "path", "value")
+
+
+@query("WITH" + _ACT + "SELECT a.action, a.path, a.value, string_agg(b.action || '=' || b.value, ',' ORDER BY b.action || '=' || b.value) AS opposed_by FROM ac a JOIN ac b ON a.path = b.path AND (a.action <> b.action OR a.value <> b.value) GROUP BY 1, 2, 3")
+def opt07_opposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which actions pull at the same path."""
+    a = optimize.actions(optimize.supports(diagnose.diagnose(records(spark, sf_dir))))
+    return optimize.opposition(a).withColumn("opposed_by", F.array_join("opposed_by", ","))
+
+
+@query("WITH" + _ACT + ", th AS (SELECT action, max(support) AS required FROM ac WHERE reindex_ GROUP BY 1) SELECT action, path, value, CASE WHEN support <= required THEN 'keep_protected_axis' END AS reason FROM ac LEFT JOIN th USING (action)")
+def opt08_keep_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions against a guard that asks of those that re-index more support than they have."""
+    a = optimize.actions(optimize.supports(diagnose.diagnose(records(spark, sf_dir))))
+    guard = a.filter("reindex").groupBy("action").agg(F.max("support").alias("required"))
+    return optimize.keep_guard(a, guard).select("action", "path", "value", "reason")
+
+
+@query("WITH" + _ACT + "SELECT action, path, value, CASE WHEN NOT path LIKE '%.%' THEN 'mappable' WHEN action LIKE '%model%' THEN 'capable' WHEN probes < 2 THEN 'has_candidates' END AS reason FROM ac")
+def opt09_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first check that an action fails (checks over its own columns stand for a backend's)."""
+    a = optimize.actions(optimize.supports(diagnose.diagnose(records(spark, sf_dir))))
+    checks = {"has_candidates": F.col("probes") >= 2, "mappable": F.col("path").contains("."), "capable": ~F.col("action").contains("model")}
+    return a.select("action", "path", "value", optimize.eligibility(checks).alias("reason"))
+
+
+@query("WITH " + _RULES + "SELECT label, grp, status, metric, ord, action, path, value, reindex, ready FROM rules")
+def opt27_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule table."""
+    return optimize.prescriptions(table(spark, sf_dir, "region")).drop("topics")
+
+
+@query("WITH" + _F + ", " + _RULES + """, st AS (SELECT label, any_value(status) AS status FROM rules GROUP BY 1)
+SELECT probe_id, CASE WHEN bool_or(status = 'manual' AND confirmed) THEN 'manual' WHEN bool_or(status = 'ready' AND confirmed) THEN 'apply' ELSE 'skipped' END AS mode, count(*) FILTER (WHERE status = 'ready' AND confirmed) AS actionable, count(*) FILTER (WHERE status = 'manual') AS manual FROM findings JOIN st USING (label) GROUP BY 1""")
+def opt28_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What findings leave to a person and what to the rules, per probe."""
+    return optimize.split(diagnose.diagnose(records(spark, sf_dir)), ["probe_id"])
+
+
 @query("WITH " + _R + """ SELECT CAST(fused_rank AS INT) AS fused_rank, count(*) AS n FROM r WHERE fused_rank IS NOT NULL GROUP BY 1""")
 def opt13_rank_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many probes need which rank: the input of the knee."""

@@ -58,17 +58,70 @@ def test_greedy_chunks_are_slices(spark):
     for s in ("recursive", "recursive_sentence", "markdown", "markdown_recursive", "1"):
         out = chunking.chunk(df, "id", "t", s, 60, 10).collect()
         assert all(texts[c.id][c.start_pos : c.end_pos] == c.chunk_text for c in out)
-        assert s == "markdown" or all(c.raw_end - c.raw_start <= 60 for c in out)
+        assert s == "markdown" or all(len(c.chunk_text) <= 60 for c in out)
         for i, t in rows:
             covered = {p for c in out if c.id == i for p in range(c.raw_start, c.raw_end)}
             assert all(p in covered for p, x in enumerate(t) if not x.isspace())
 
 
-def test_markdown_paths():
-    text = "pre\n# A\na\n## B\nb\n# C\nc"
-    assert [(s, text[a:b]) for s, a, b in chunking.sections(text)] == [(None, "pre\n"), ("A", "# A\na\n"), ("A > B", "## B\nb\n"), ("C", "# C\nc")]
-    chunking.register("halves", lambda t, n, o: iter([(None, 0, len(t) // 2, False), (None, len(t) // 2, len(t), False)]))
-    assert "halves" in chunking.STRATEGIES
+def test_raw_spans_leave_no_gap(spark):
+    """Every character of a text lies in the raw span of a chunk, in texts with long blank runs too; spans of chunks are trimmed."""
+    r = random.Random(7)
+    rows = [(i, "".join(r.choices(["word ", "end. ", "\n", " " * 90, "\u3000", "# H\n", "x" * 30], k=r.randint(0, 60)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for s in ("fixed", "recursive", "recursive_sentence", "markdown", "markdown_recursive"):
+        out = chunking.chunk(df, "id", "t", s, 60, 10).collect()
+        for i, t in rows:
+            own = sorted((c for c in out if c.id == i), key=lambda c: c.draft_no)
+            assert bool(own) == bool(t.strip()) and [c.draft_no for c in own] == list(range(len(own)))
+            assert all(c.chunk_text == c.chunk_text.strip() == t[c.start_pos : c.end_pos] for c in own)
+            covered = {p for c in own for p in range(c.raw_start, c.raw_end)}
+            # Only blank sections behind the last one belong to none.
+            assert not own or covered >= {p for p in range(len(t)) if not t[p].isspace()} | set(range(own[-1].raw_end if s.startswith("markdown") else len(t)))
+
+
+def test_windows_against_a_loop():
+    """The path through the successors of all positions is what a loop over the text gives."""
+    r = random.Random(3)
+    for _ in range(200):
+        t = "".join(r.choices(["ab ", "c. ", "\n", "\n\n", "。", "…", "x" * 9, " "], k=r.randint(0, 40)))
+        size = r.randint(2, 25)
+        overlap = r.randrange(size)
+        for separators in (chunking.SEPARATORS, chunking.SENTENCE_SEPARATORS):
+            want, a = [], 0
+            while a < len(t):
+                b = min(len(t), a + size)
+                if b < len(t):
+                    half = a + max(1, (b - a) // 2)
+                    b = next((max(k for k in range(half + len(s), b + 1) if t[:k].endswith(s)) for s in separators if any(t[:k].endswith(s) for k in range(half + len(s), b + 1))), b)
+                want.append((a, b))
+                if b == len(t):
+                    break
+                a = next((k for k in range(max(a + 1, b - overlap), b) if not t[k].isspace()), max(a + 1, b))
+            assert chunking.windows(t, size, overlap, separators) == (want if len(t) > size else [(0, len(t))] * bool(t))
+
+
+def test_markdown_paths(spark):
+    text = "pre\n# A\na\n\n\n## \n#### B\nb\n  \n# C\n"
+    assert [(s, text[a:b], text[x:y]) for s, a, b, [(x, y)] in chunking.sections(text)] == [
+        (None, "pre\n", "pre"), ("A", "# A\na\n\n\n## \n", "# A\na\n\n\n##"), ("A > B", "#### B\nb\n  \n", "#### B\nb"), ("C", "# C\n", "# C")]
+    assert chunking.sections(" \n\t") == []
+    chunking.register("halves", lambda t, n, o, k: [(None, 0, len(t), [(0, len(t) // 2), (len(t) // 2, len(t))])])
+    df = spark.createDataFrame([(1, "ab cd")], "id int, t string")
+    assert [(c.chunk_text, c.raw_start, c.raw_end) for c in chunking.chunk(df, "id", "t", "halves").collect()] == [("ab", 0, 2), ("cd", 2, 5)]
+
+
+def test_math_problems(spark):
+    text = "Preface\n1. Add\nx\n[2] Subtract\nSET 3: all\ny"
+    df = spark.createDataFrame([(1, text, "math"), (2, text, None), (3, "1. one only", "math")], "id int, t string, kind string")
+    got = [(c.id, c.section, c.chunk_text) for c in chunking.chunk(df, "id", "t", "markdown", kind="kind").collect()]
+    assert got == [(1, "preamble", "Preface"), (1, "문제 1", "1. Add\nx"), (1, "문제 2", "[2] Subtract"), (1, "SET 3", "SET 3: all\ny"), (2, None, text), (3, None, "1. one only")]
+
+
+def test_dedup_keeps_the_first(spark):
+    rows = [(d, k, t) for d, k, t in ((2, 0, "a"), (1, 1, "a"), (1, 0, "b"), (3, 0, "a"), (3, 1, "c"))]
+    keep, twins = chunking.dedup(spark.createDataFrame(rows, "doc_id int, draft_no int, chunk_text string"), ["doc_id", "draft_no"])
+    assert {(x.doc_id, x.draft_no) for x in keep.collect()} == {(1, 1), (1, 0), (3, 1)} and {(x.doc_id, x.draft_no) for x in twins.collect()} == {(2, 0), (3, 0)}
 
 
 def test_intervals_against_sets(spark):
