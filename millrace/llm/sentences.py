@@ -76,15 +76,24 @@ GO_ON_JA, ANY_FINAL_JA, OPEN_JA, FINAL_ZH, OPEN_ZH = map(tuple, (GO_ON_JA, FINAL
 DICTIONARY_JA = frozenset([*STARTS_JA, *COMMON_JA, *NOT_FINAL_JA])
 DICTIONARY_ZH = frozenset(NOT_FINAL_ZH)
 
-END = ".!?…。！？।॥؟۔"
-WIDE, PLAIN_STRONG = frozenset("。！？"), frozenset("।॥؟۔")
+# Full stops, question and exclamation marks of the scripts that have their own (Armenian, Arabic, Syriac, NKo, Samaritan, Indic, Tibetan, Burmese, Ethiopic, Canadian, Philippine, Khmer, Mongolian, Limbu, Tai Tham, Balinese, Lepcha, Ol Chiki, Lisu, Vai, Bamum, Phags-pa, Saurashtra, Kayah Li, Javanese, Cham, Meetei), and double marks.
+SCRIPT_ENDS = "։؟۔܀܁܂߹࠷࠹࠽࠾।॥།༎༏༐༑။።፧፨᙮᜵᜶។៕᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+END = ".!?…。！？｡﹒﹖﹗‼‽⁇⁈⁉⸮⸼" + SCRIPT_ENDS
+WIDE, PLAIN_STRONG = frozenset("。！？｡﹖﹗"), frozenset(SCRIPT_ENDS)
+EMPHATIC = frozenset("!?‼‽⁇⁈⁉⸮")
+#: Chinese words of a clause's predicate. Two stretches that a space parts are two sentences if each has one, and four characters.
+PREDICATES_ZH = frozenset("""是 有 没有 在 了 过 着 去 来 到 说 想 看 要 会 能 可以 应该 必须 不 没 就 都 也 还 再 把 被 让 给 叫 做 用 写 读 听 问 答 买 卖 走 跑 开 关 下雨 下雪 觉得 知道 喜欢 需要 开始 结束 成为 变成 发现 认为
+    很 太 非常 更 最 已经 正在 曾经 将 刚 才 回家 上课 上班 吃饭 工作 学习 生活 发生 出现 进行 完成 使用 得 起来 下去""".split())
+#: Words with such a character that are no predicate.
+NOUNS_ZH = frozenset("现在 存在感 中国有限公司 有限公司 开关 过程 来源 未来 本来 后来 从来 原来 到期 会议 会员 大会 协会 社会 机会 晚会 能力 功能 性能 可能性 用户 用途 作用 费用 应用 不动产 都市 首都 还原 再生 下水 说明书 说法 看法 想法 做法 写作 读者 听众 问题 答案 走廊 着色 给水 被子 把手 要点 主要 重要 需要量 关系 关于 海关 开发区 公开 去年 将军 将来 刚性 才能 人才 天才 更新 最近 最后 太阳 太空".split())
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "“": "”", "‘": "’", "„": "“", "‚": "‘", "〔": "〕"}
 BRACKETS = frozenset("([{（［【〔")
 CLOSERS = frozenset(")]}）］】」』》〉»”’\"'〕")
 DASHES = frozenset("—–―-")
 
 _UNIT_LINE = re.compile(r"\s*(?:#{1,2} |[-*] |\d+\) |\||\[)")
-_MARK = re.compile(r"[.!?…。！？।॥؟۔]+|[()\[\]{}（）［］【】「」『』《》〈〉«»“”‘’„‚\"'〔〕]|(?<=[ก-๎])\s+(?=[ก-๎])|(?<=[すたんういだかねよなる])[ 　]+(?=[ぁ-ヿ一-鿿])|(?<=[吗吧呢啊呀])[ 　]+(?=[一-鿿])")
+_MARK = re.compile("[" + re.escape(END) + r"]+|[()\[\]{}（）［］【】「」『』《》〈〉«»“”‘’„‚\"'〔〕]|(?<=[ก-๎])\s+(?=[ก-๎])|(?<=[すたんういだかねよなる])[ 　]+(?=[ぁ-ヿ一-鿿])|(?<=[一-鿿])[ 　]+(?=[一-鿿])")
+_HAN_BEFORE, _HAN_AFTER = re.compile(r"[一-鿿，、]+\Z"), re.compile(r"[一-鿿，、]+")
 _SPACE = re.compile(r"\s*")
 _TOKEN_BEFORE = re.compile(r"[^\s(\[{（「『“‘«„\"'¿¡]*\Z")
 _WORD = re.compile(r"\S+")
@@ -154,10 +163,22 @@ def _closes_word(text: str, at: int, words: tuple[str, ...], dictionary: frozens
     return last if last in words else ""
 
 
+def _words(window: str, known: frozenset[str]) -> list[str]:
+    """The words of the best path through the lattice of a stretch."""
+    longest, out = max(map(len, known)), []
+    while window:
+        out.append(_first_word(window[: 2 * longest], known, longest))
+        window = window[len(out[-1]) :]
+    return out
+
+
 def _closes_at_space(text: str, at: int, nxt: int) -> bool:
     """Whether a sentence in a script without spaces ends at the space from ``at`` to ``nxt``."""
     if _script(text[at - 1]) != "j":
-        return bool(_closes_word(text, at, FINAL_ZH, DICTIONARY_ZH))
+        if _closes_word(text, at, FINAL_ZH, DICTIONARY_ZH):
+            return True
+        before, after = _HAN_BEFORE.search(text[max(0, at - 60) : at]), _HAN_AFTER.match(text, nxt, nxt + 60)
+        return all(x is not None and len(x.group()) >= 4 and not PREDICATES_ZH.isdisjoint(_words(x.group(), PREDICATES_ZH | NOUNS_ZH)) for x in (before, after))
     word = _closes_word(text, at, ANY_FINAL_JA, DICTIONARY_JA)
     return bool(word) and (word not in PLAIN_JA or bool(_opens_word(text, nxt, OPEN_JA, DICTIONARY_JA)))
 
@@ -320,7 +341,7 @@ def _ends(text: str, begin: int, run: str, at: int, end: int, nxt: int) -> bool:
         follow = text[nxt + 1 : nxt + 3].strip()[:1]
         if not gap or follow.islower():
             return False
-    if "!" in run or "?" in run:
+    if not EMPHATIC.isdisjoint(run):
         if c in ",;:":
             return False
         if kind == "l":

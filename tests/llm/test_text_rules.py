@@ -28,6 +28,19 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences(text)] == want
 
 
+#: Scripts with their own full stops, and spaces for full stops; | is a boundary.
+SCRIPTS = [
+    "ខ្ញុំទៅផ្សារ។|គាត់មក។", "သူသွားသည်။|ငါလာသည်။", "ང་འགྲོ་གི་ཡིན།|ཁོང་ཕེབས་སོང་།", "እኔ ሄድኩ።|እሱ መጣ።", "Նա գնաց։|Ես եկա։", "彼は来た｡|私は行く｡", "昨天我去了学校 |老师没有来 |我们就回家了", "北京市 海淀区", "重要会议 社会问题 现在",
+    "今日は雨だった |明日は晴れるだろう", "Really⁉ |Yes‼ |Good.", "ᠪᠢ ᠶᠠᠪᠤᠪᠠ᠃ |ᠲᠡᠷᠡ ᠢᠷᠡᠪᠡ᠃",
+]
+
+
+@pytest.mark.parametrize("marked", SCRIPTS)
+def test_scripts(marked):
+    text, want = marked.replace("|", ""), [x.strip() for x in marked.split("|")]
+    assert [text[a:b] for a, b in sentences(text)] == want
+
+
 #: Ordinary words that begin like a particle, particles, and plain final forms; | is a boundary.
 JAPANESE = [
     *(f"彼は「そうだ。」|{w}帰った。" for w in ("とても急いで", "でも、すぐ", "はい、と答えて", "もし雨なら", "もちろん", "がっかりして", "やがて", "にっこりして", "のちに", "ところが客は")),
