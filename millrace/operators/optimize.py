@@ -27,7 +27,7 @@ RULES = {
     "retrieval_reranker_demotion": ("A", "ready", "context_recall", [("disable_reranker", "reranker.enabled", "false", False, True, ()), ("swap_reranker_model", "reranker_model", UP, False, False, ())]),
     "retrieval_reranker_ineffective": ("A", "draft", "context_recall", [("swap_reranker_model", "reranker_model", UP, False, True, ())]),
     "retrieval_lexical_mismatch": ("A", "ready", "context_recall", [("enable_hybrid", "retriever.search_type", "hybrid", False, True, ())]),
-    "retrieval_semantic_mismatch": ("A", "ready", "context_recall", [("swap_embedding_model", "embedding_model", UP, True, True, TOPIC), ("shrink_chunk_size", "chunk_size", DEC, True, True, NO_TOPIC), ("switch_to_recursive_sentence", "chunker.strategy", "recursive_sentence", True, True, NO_TOPIC), ("switch_to_markdown_recursive", "chunker.strategy", "markdown_recursive", True, True, NO_TOPIC)]),
+    "retrieval_semantic_mismatch": ("A", "ready", "context_recall", [("swap_embedding_model", "embedding_model", "sentence-transformers/all-MiniLM-L6-v2", True, True, TOPIC), ("shrink_chunk_size", "chunk_size", DEC, True, True, NO_TOPIC), ("switch_to_recursive_sentence", "chunker.strategy", "recursive_sentence", True, True, NO_TOPIC), ("switch_to_markdown_recursive", "chunker.strategy", "markdown_recursive", True, True, NO_TOPIC)]),
     "retrieval_missing_gold": ("A", "ready", "context_recall", [("increase_top_k", "top_k", INC, False, True, ()), ("increase_chunk_overlap", "chunk_overlap", INC, True, True, ()), ("increase_chunk_size", "chunk_size", INC, True, True, ()), ("expand_query", "query_rewrite", "expand", False, False, ())]),
     "retrieval_incomplete_enumeration": ("A", "ready", "context_recall", [("dynamic_top_k", "top_k", INC, False, True, ()), ("enable_mmr", "retriever.mmr", "true", False, True, ()), ("enable_adaptive_retrieval", "adaptive_retrieval", "true", False, False, ())]),
     "retrieval_missing_bridge_dependency": ("A", "draft", "context_recall", [("enable_query_decomposition", "query_rewrite", "decompose", False, True, ()), ("enable_query_decomposition", "max_hops", INC, False, True, ()), ("enable_query_decomposition", "sub_query_generator_prompt", "bridge_entity_aware", False, True, ()), ("expand_bridge_entity_query", "bridge_entity_expansion", "true", False, True, ())]),
