@@ -10,6 +10,7 @@ original.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -33,6 +34,13 @@ KO_LABELS = ["수령인", "수신인", "신청자", "신청인", "작성자", "
 KO_OWNED = ["의 면허번호", "의 주민등록번호", "의 여권번호", "의 신분증", "의 연락처", "의 전화번호", "의 주소", "의 이메일", "의 메일", "의 휴대폰"]
 EN_LABELS = ["name is", "name's", "Name:", "name:", "Applicant:", "applicant:", "Contact ", "Contact: ", "Written by", "written by", "Ship to", "ship to", "next to", "Attn:", "ATTN:", "Recipient:", "Dear ", "Signed,", "Author:", "Customer:", "Patient:", "Employee:", "Call ", "Ask ", "ask ", "Yesterday ", "yesterday ", "signed by", "told ", "met ", "from: ", "From: "]
 #: Between a name and the group that it belongs to, and the groups.
+SIGN_OFFS = ["Regards,", "regards,", "Sincerely,", "sincerely,", "Yours,", "Cheers,", "Best,", "Thanks,", "wishes,", "greetings,"]
+#: Schemes whose rest is personal.
+SCHEMES = ["mailto:", "tel:", "sms:", "callto:"]
+#: Common given names: with a family name behind them they are anchors by themselves.
+GIVEN = """James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Frank Alexander Raymond Patrick Jack Dennis Jerry Tyler Aaron Jose Adam Nathan Henry Peter Bob Tom Jim Mike
+    Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Helen Sharon Cynthia Kathleen Amy Angela Anna Ann Anne Brenda Pamela Emma Nicole Katherine Samantha Christine Rachel Janet Maria Diane Julie Alice Kate Jane Lucy
+    Hans Peter Klaus Jürgen Wolfgang Stefan Thomas Ursula Monika Sabine Petra Jean Pierre Michel Philippe Marie Sophie Camille Juan Carlos Luis Javier Carmen Lucia Marco Giuseppe Giulia Ivan Olga Ahmed Mohammed Fatima Ali Wei Hiroshi Yuki""".split()
 OF_GROUP = [" of the ", " of "]
 GROUPS = ["team", "office", "board", "crew", "control", "desk", "department", "committee", "division", "unit", "staff", "council"]
 EN_TITLES = ["Mr.", "Mrs.", "Ms.", "Mx.", "Dr.", "Prof.", "Mr ", "Mrs ", "Ms ", "Mx ", "Dr ", "Miss "]
@@ -49,13 +57,16 @@ _LATIN = r"(?:[A-Z]\.\s?){0,2}(?:(?:de|van|von|di) )?(?:[A-Z][A-Za-zÀ-ÿ]*['’
 _NAME = re.compile(_LATIN)
 _NAME_END = re.compile(rf"(?:^|(?<=[^A-Za-z.'’-]))(?:{_LATIN})\Z")
 _LAST_FIRST = re.compile(r"(?:de |van |von )?[A-Z][A-Za-zÀ-ÿ'’-]+, (?!Flat|Apt|Unit|Suite|Floor|Room)[A-Z][A-Za-zÀ-ÿ'’-]+(?: [A-Z]\.)?(?=\s*(?:[<(;/.\n가-힣]|$|and\b|about\b|of the\b|, ?[가-힣]|[a-z]+ed\b|, \d|\d|, (?:Flat|P\.|PO)))")
+_FULL = re.compile(r"([A-Z][a-zÀ-ÿ]+(?: [A-Z]\.)? (?:(?:de|van|von|del|la|di|O')\s?)?[A-Z][a-zÀ-ÿ]+(?:-[A-Z][a-zÀ-ÿ]+)?)(?= (?:[a-z]{2,}(?:ed|t)|has|is|was|said|will|can|paid|came|went|wrote|told|sent|and|or|who|works|lives) |, (?:who|our|my|the|a|born|aged)\b|[.,;] ?$|'s )")
+#: Second words of places, schools and the like.
+PLACES = frozenset("Street Road City County Park Hospital University College School Church Island Bay River Lake Hall House Museum Bridge Station Airport Hotel Court Square Prize Award Law Model Method Theorem Test Day".split())
 _ORGS = frozenset("The Team Office Board Inc Ltd Co Corp Department Desk Help Support Service Services Center Centre Library Archive Portal Group Committee Street Road Lane Who What When Where Why How This That It He She They We You Of In On At For If As By Do No My Our And But Or Please See Not Each Some Between After Before During Nobody Approx Build Version Install Is Was Are Send Describe Which Her His Its".split())
 
 
 @functools.cache
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    kinds = {"at": AT_SIGNS, "digit": DIGITS, "title": KO_TITLES + JA_TITLES + ZH_TITLES, "label": KO_LABELS, "owned": KO_OWNED, "en": EN_LABELS, "mr": EN_TITLES, "of": OF_GROUP}
+    kinds = {"scheme": SCHEMES, "sign": SIGN_OFFS, "given": [f"{w} " for w in GIVEN], "at": AT_SIGNS, "digit": DIGITS, "title": KO_TITLES + JA_TITLES + ZH_TITLES, "label": KO_LABELS, "owned": KO_OWNED, "en": EN_LABELS, "mr": EN_TITLES, "of": OF_GROUP}
     for kind, words in kinds.items():
         for w in words:
             a.add_word(w, (kind, len(w), w))
@@ -77,6 +88,8 @@ def _email(t: str, a: int, b: int) -> tuple[int, int] | None:
     m = _LOCAL.search(t, max(0, left - 64), left)
     if not m:
         return None
+    if "://" in t[max(0, m.start() - 64) : m.start()].rpartition(" ")[2]:
+        return None  # user and password of an address in the net
     start = m.start()
     while start < left and t[start] in ".-'+%":
         start += 1
@@ -115,6 +128,7 @@ _IDS = [
     re.compile(r"\d{3}-\d{2}-\d{4}(?![\d-])"),
     re.compile(r"[1-6]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx](?!\d)"),
 ]
+_SSN, _NO_SSN = _IDS[2], re.compile(r"000|\d{3}-00|\d{3}-\d\d-0000")
 _LETTER_IDS = [re.compile(r"[A-Z]{1,2}\d{7,8}(?![\dA-Za-z_-])"), re.compile(r"[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?![A-Za-z\d])")]
 
 
@@ -129,12 +143,16 @@ def _number(t: str, at: int) -> tuple[int, int, str] | None:
             near = t[max(0, m.start() - 44) : m.start()]
             if "lists" in t[max(0, m.start() - 8) : m.start()] or (any(c in near for c in ID_CUES) and not any(near.endswith(c + e) for c in NOT_ID_CUES for e in (" ", ": ", " is ", "는 ", "은 ", "번호는 ", " 번호는 ", " number is ", " no. "))):
                 return m.start(), m.end(), "id_number"
+    if (iban := _iban(t, at)) is not None:
+        return iban
     if before.isdigit() or (before.isascii() and before.isupper()):
         return None
     for p in _IDS:
         m = p.match(t, at)
-        if m and not _tail(t, m.end()):
+        if m and not _tail(t, m.end()) and not (m.re is _SSN and _NO_SSN.match(m.group())):
             return at, m.end(), "id_number"
+    if (m := _CARD.match(t, at)) and luhn(re.sub(r"\D", "", m.group())):
+        return at, m.end(), "id_number"
     starts = [at]
     if before == "+":
         starts = [at - 1]
@@ -153,6 +171,30 @@ def _number(t: str, at: int) -> tuple[int, int, str] | None:
     return None
 
 
+_CARD = re.compile(r"[2-6]\d{3}(?:([ -]?)\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|([ -]?)\d{6}\2\d{5})(?![\d-])")
+_IBAN = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+
+def luhn(digits: str) -> bool:
+    """Whether the check digit of a card number is right."""
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def mod97(account: str) -> bool:
+    """Whether the check digits of an international account number are right."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def _iban(t: str, at: int) -> tuple[int, int, str] | None:
+    """The international account number whose first digit is at ``at``, by its check digits."""
+    if at > 1 and (m := _IBAN.match(t, at - 2)) and not (at > 2 and t[at - 3].isalnum()):
+        for end in range(m.end(), at + 11, -1):  # words in capitals may follow
+            body = t[at - 2 : end].replace(" ", "")
+            if t[end - 1] != " " and 15 <= len(body) <= 34 and mod97(body):
+                return at - 2, end, "id_number"
+    return None
+
+
 def _tail(t: str, end: int) -> bool:
     """Whether a number goes on after ``end``, so that it is another kind of number."""
     rest = t[end : end + 2]
@@ -178,6 +220,34 @@ _EN_ADDRESS = re.compile(
 _EN_START = re.compile(r"(?:Apt|Apartment|Unit|Suite|Flat|Floor|Room)\.? ?#?\Z|P\.? ?O\.? ?Box \Z")
 
 
+_ABROAD = [
+    # Japanese: postal code, prefecture, municipality, block numbers, building.
+    re.compile(r"(?:〒? ?\d{3}-\d{4} ?)?(?:東京都|北海道|京都府|大阪府|[一-鿿]{2,3}県)[一-鿿ぁ-んァ-ヶ]{1,10}?[市区町村郡][一-鿿ぁ-んァ-ヶヶノ]{0,14}\d{1,4}(?:(?:丁目|番地?|号|[-ー]) ?\d{1,4}(?:番地?|号)?)*(?:丁目|番地?|号)?(?: ?[一-鿿ァ-ヶー]{2,12}\d{1,4}(?:号室|階))?"),
+    # Chinese: province, city, district, street, number, building, unit, room, postal code.
+    re.compile(r"(?:(?:(?![是在址于住为到从往的了])[一-鿿]){2,3}(?:省|自治区))?(?:(?:(?![是在址于住为到从往的了])[一-鿿]){2,4}市)(?:[一-鿿]{1,4}[区县镇]){0,2}[一-鿿]{1,8}?(?:大街|大道|路|街|巷|胡同|弄)\d{1,5}(?:弄\d{1,4})?号(?:院)?(?:\d{1,4}(?:号楼|栋|幢|座|楼))?(?:\d{1,3}单元)?(?:\d{1,5}室)?(?: ?\d{6}(?!\d))?"),
+    # German: street and number, postal code and town.
+    re.compile(r"(?:[A-ZÄÖÜ][a-zäöüß]+[- ])?[A-ZÄÖÜ][a-zäöüß-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|Straße|Allee|Platz) \d{1,4} ?[a-h]?(?![A-Za-z\d])(?:, (?:\d{1,2}\. (?:OG|Stock|Etage), )?\d{5} [A-ZÄÖÜ][a-zäöüß]+(?:[- ][A-ZÄÖÜ][a-zäöüß]+)?)?"),
+    # French, Spanish, Italian: number and street or street and number, postal code and town.
+    re.compile(r"\d{1,4}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|quai|impasse) (?:(?:de|du|des|la|le|les|de la|l'|d'|de l')\s?){0,2}[A-ZÀ-Þ][\wÀ-ÿ'-]+(?:[ -][A-ZÀ-Þ][\wÀ-ÿ'-]+){0,3}(?:, \d{5} [A-ZÀ-Þ][\wÀ-ÿ'-]+(?:[ -][A-ZÀ-Þ][\wÀ-ÿ'-]+)?)?"),
+    re.compile(r"(?:[Cc]alle|Avenida|Plaza|Paseo|Via|Viale|Piazza|Corso) (?:(?:de|del|la|las|los|di|della|delle|dei) ){0,2}[A-ZÀ-Þ][\wÀ-ÿ'-]+(?: [A-ZÀ-Þ][\wÀ-ÿ'-]+){0,3},? \d{1,4}(?!\d)(?:, (?:\d{5} )?[A-ZÀ-Þ][\wÀ-ÿ'-]+)?"),
+]
+_ABROAD_CUE = re.compile(r"[市区町村郡県府都省県路街道巷弄号]|straße|strasse|str\.|weg |platz|allee|gasse|ring |damm|ufer|Straße|Allee|Platz|rue |avenue |boulevard |place |chemin |quai |impasse |[Cc]alle |Avenida |Plaza |Paseo |Via |Viale |Piazza |Corso ")
+
+
+def _abroad(t: str, at: int) -> tuple[int, int] | None:
+    """The address of another country around the number at ``at``, from the start of its line or 40 characters before."""
+    low = max(t.rfind("\n", 0, at) + 1, at - 40)
+    if not _ABROAD_CUE.search(t, low, at + 24):
+        return None
+    for p in _ABROAD:
+        for m in p.finditer(t, low):
+            if m.start() > at:
+                break
+            if m.start() <= at < m.end():
+                return m.span()
+    return None
+
+
 def _address(t: str, at: int) -> tuple[int, int] | None:
     """The address around the number at ``at``: of a street, a lot, a box, or a unit before it."""
     # English: from the number, its unit word or box word on.
@@ -253,7 +323,18 @@ def _latin_name(t: str, at: int) -> tuple[int, int] | None:
 
 
 def _names(t: str, kind: str, a: int, b: int, word: str) -> Iterator[tuple[int, int]]:
-    if kind == "title":
+    if kind == "given":
+        if (a and (t[a - 1].isalnum() or t[a - 1] in "-'.")) or re.search(r"(?<!\.) [A-Z][a-z]+ \Z|^[A-Z][a-z]+ \Z", t[max(0, a - 24) : a]):
+            return
+        # A person does or owns something, or stands between others; a place or a product is named otherwise.
+        m = _FULL.match(t, a)
+        if m and not any(w in _ORGS or w in PLACES for w in m.group(1).split(" ")):
+            yield m.span(1)
+    elif kind == "sign":
+        m = re.compile(r"[ \t]*\n\s*").match(t, b)
+        if m and (s := _latin_name(t, m.end())) is not None and " " in t[s[0] : s[1]] and re.match(r"\s*(?:\n|,|$)", t[s[1] : s[1] + 3]):
+            yield s
+    elif kind == "title":
         if word == "씨" or word == "님":
             rest = t[b : b + 2]
             follows = re.match(r"(?:[^가-힣]|[와가는를의도께에이라만랑한]|$)", rest)
@@ -367,20 +448,28 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             if (s := _number(t, a)) is not None:
                 found.append(s)
                 after = s[1]
-            elif (p := _address(t, a)) is not None:
+            elif (p := _address(t, a) or _abroad(t, a)) is not None:
                 found.append((*p, "address"))
                 after = p[1]
+        elif kind == "scheme":
+            if word == "mailto:":
+                continue  # its at-sign is the anchor
+            m = re.compile(r"\+?\d[\d().-]{5,18}\d").match(t, b)
+            if m and not (a and t[a - 1].isalnum()):
+                found.append((*m.span(), "phone"))
+                after = m.end()
         elif kind == "at":
             if (p := _email(t, a, b)) is not None:
                 found.append((*p, "email"))
         else:
             found.extend((*p, "name") for p in _names(t, kind, a, b, word))
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
-    out: list[tuple[int, int, str]] = []
+    out: list[tuple[int, int, str]] = []  # in order and apart, so that only the neighbours of a new span can overlap it
     for s in sorted(set(found), key=lambda x: (rank[x[2]], x[0] - x[1], x[0])):
-        if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
-            out.append(s)
-    return sorted(out)
+        k = bisect.bisect(out, s)
+        if (not k or out[k - 1][1] <= s[0]) and (k == len(out) or out[k][0] >= s[1]):
+            out.insert(k, s)
+    return out
 
 
 def redact(text: str | None) -> str | None:

@@ -64,8 +64,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The logs with placeholders, each log once."""
-    logs = table(spark, sf_dir, "rag_logs").select("log_id", "question", "answer", "contexts").dropDuplicates(["log_id"])
+    """The logs with placeholders, each log once, in its latest delivery."""
+    last = F.max(F.struct("arrived_at", "question", "answer", "contexts")).alias("d")
+    logs = table(spark, sf_dir, "rag_logs").groupBy("log_id").agg(last).select("log_id", "d.question", "d.answer", "d.contexts")
     out = pii.redact_columns(logs, ["question", "answer", "contexts"])
     return out.withColumn("contexts", F.transform("contexts", lambda x: x["text"]))
 

@@ -28,6 +28,21 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences(text)] == want
 
 
+#: Held-out cases: text, and the spans in it with their types.
+PERSONAL = [
+    ("My colleague Maria Garcia called yesterday.", [("Maria Garcia", "name")]), ("Regards,\nJohn Smith", [("John Smith", "name")]), ("Ann Lee signed the form and Bob Ray paid.", [("Ann Lee", "name")]),
+    ("Wohnhaft in der Hauptstraße 5, 10115 Berlin seit Mai", [("Hauptstraße 5, 10115 Berlin", "address")]), ("住所は東京都千代田区丸の内1-1-1です", [("東京都千代田区丸の内1-1-1", "address")]), ("地址是北京市海淀区中关村大街27号", [("北京市海淀区中关村大街27号", "address")]),
+    ("Card 4111 1111 1111 1111 was charged", [("4111 1111 1111 1111", "id_number")]), ("Card 4111 1111 1111 1112 was charged", []), ("IBAN DE89 3704 0044 0532 0130 00 please", [("DE89 3704 0044 0532 0130 00", "id_number")]), ("SSN 000-00-0000", []), ("SSN 123-45-6789", [("123-45-6789", "id_number")]),
+    ("write to mailto:ann@ex.org or tel:+15551234567", [("ann@ex.org", "email"), ("+15551234567", "phone")]), ("see https://user:secret@host.example/x", []), ("au 12 rue de la Paix, 75002 Paris", [("12 rue de la Paix, 75002 Paris", "address")]),
+    ("Madison Park Hospital is open. The Charles River was low. John Deere City is a game.", []), ("The Thomas Method was used and Grace Hall, the venue, closed.", []),
+]
+
+
+@pytest.mark.parametrize("text,want", PERSONAL)
+def test_held_out_personal_information(text, want):
+    assert [(text[a:b], k) for a, b, k in pii.spans(text)] == want
+
+
 #: Scripts with their own full stops, and spaces for full stops; | is a boundary.
 SCRIPTS = [
     "ខ្ញុំទៅផ្សារ។|គាត់មក។", "သူသွားသည်။|ငါလာသည်။", "ང་འགྲོ་གི་ཡིན།|ཁོང་ཕེབས་སོང་།", "እኔ ሄድኩ።|እሱ መጣ።", "Նա գնաց։|Ես եկա։", "彼は来た｡|私は行く｡", "昨天我去了学校 |老师没有来 |我们就回家了", "北京市 海淀区", "重要会议 社会问题 现在",
