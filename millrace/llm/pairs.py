@@ -10,12 +10,14 @@ exceeds that defect's cutoff.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +58,10 @@ _JA_END = re.compile(r"(?:です|ます|でした|ました|ません|くださ
 _VALUE_END = re.compile(r"(?:[\w.+-]+@[\w.-]+\.\w+|@\S+|\+?\d[\d\s().-]{6,}\d|[A-Z]{1,2} ?\d[\d ]{5,}[A-Z]?|[=:/]\s*\S*\d\S*|>|\d+(?:[.,]\d+)*\s?(?:일|건|%|％|days?|日|天|개|명|원|점|km|h|시간|분)?)\Z")
 _LIST_ITEM = re.compile(r"^\s*(?:[-*•·]\s+|[・•]\s*|\d+[.)]\s+)\S")
 _NOT_WORD = re.compile(r"[\W_]+")
+_UNSEEN = regex.compile(r"[[\p{Cf}\p{Cc}\p{Co}\p{Cs}]--[\n\t]]+", regex.V1)
+_QUOTED = re.compile(r"[“\"「『(（<][^”\"」』)）>]{0,80}[”\"」』)）>]")
+_SCRIPTS = [re.compile(p) for p in ("[가-힣ㄱ-ㆎ]+", "[ぁ-ヿ]+", "[㐀-鿿]+", "[A-Za-zÀ-ÿ]+")]
+_PARTICLE, _SPACED, _SPACELESS = re.compile(r"(?:에서|으로|에게|은|는|이|가|을|를|의|에|로|와|과|도|만)$"), re.compile(r"[^\W_ぁ-ヿ㐀-鿿]+"), re.compile(r"[ぁ-ヿ㐀-鿿]+")
 
 
 def plain(s: str) -> str:
@@ -67,26 +73,28 @@ def visible(s: str | None) -> str:
     """The text without white space and invisible characters at its ends."""
     if s is None:
         return ""
-    return "".join(c for c in s if unicodedata.category(c) not in ("Cf", "Cc", "Co", "Cs") or c in "\n\t").strip("ㅤᅟᅠ⠀ \t\n\r　\xa0")
+    return _UNSEEN.sub("", s).strip("ㅤᅟᅠ⠀ \t\n\r　\xa0")
 
 
+@functools.lru_cache(1 << 10)
 def language(s: str) -> str:
     """ko, ja, zh or en by the scripts of a text; '' where there are too few letters to tell."""
-    s = re.sub(r"[“\"「『(（<][^”\"」』)）>]{0,80}[”\"」』)）>]", " ", s)
+    s = _QUOTED.sub(" ", s)
     # Addresses, numbers, versions and file names are of no language; words are judged one by one, so that long ones cost no more.
     s = " ".join(w for w in s.split() if not ("@" in w or "=" in w or ("." in w[:-1] and any(x.isdigit() for x in w) and w.isascii())))
-    h, k, c, a = (len(re.findall(p, s)) for p in ("[가-힣ㄱ-ㆎ]", "[ぁ-ヿ]", "[㐀-鿿]", "[A-Za-zÀ-ÿ]"))
+    h, k, c, a = (sum(map(len, p.findall(s))) for p in _SCRIPTS)
     if 3 * (h + k + c) + a < 4:
         return ""
     best = max((3 * h, "ko"), (3 * (k + c), "cj"), (a, "en"))[1]
     return best if best != "cj" else "ja" if k >= 0.08 * (k + c) else "zh"
 
 
+@functools.lru_cache(1 << 10)
 def content(s: str) -> set[str]:
     """Words of a text for overlaps; pairs of letters in scripts without spaces."""
     s = unicodedata.normalize("NFKC", s).lower()
-    words = {re.sub(r"(?:에서|으로|에게|은|는|이|가|을|를|의|에|로|와|과|도|만)$", "", w) if "가" <= w[-1] <= "힣" and len(w) > 2 else w for w in re.findall(r"[^\W_ぁ-ヿ㐀-鿿]+", s)}
-    runs = re.findall(r"[ぁ-ヿ㐀-鿿]+", s)
+    words = {_PARTICLE.sub("", w) if "가" <= w[-1] <= "힣" and len(w) > 2 else w for w in _SPACED.findall(s)}
+    runs = _SPACELESS.findall(s)
     return words | {r[i : i + 2] for r in runs for i in range(len(r) - 1)}
 
 
@@ -132,7 +140,7 @@ def votes(question: str | None, answer: str | None, truth: str | None, ends: lis
     letters = plain(a)
     out: dict[str, list[int]] = {}
     gone = not a or a.lower() in PLACEHOLDERS or bare.lower() in PLACEHOLDERS or not bare
-    out["empty"] = [1 if not a else -1 if len(letters) > 12 else 0, 1 if gone else -1, (1 if gone else 0) if not letters else -1 if len(letters) > 12 else 0]
+    out["empty"] = [1 if not a else -1 if len(letters) > 12 else 0, 1 if a.lower() in PLACEHOLDERS or bare.lower() in PLACEHOLDERS else -1 if letters and bare else 0, 1 if not bare else 0, 1 if not plain(bare) else -1 if len(bare.split()) > 1 or len(letters) > 8 else 0]
     none = {d: [-1] * n for d, n in SIZES.items() if d != "empty"}
     if gone:
         return out | none
@@ -174,6 +182,7 @@ def votes(question: str | None, answer: str | None, truth: str | None, ends: lis
     opens = sum(end.count(o) - end.count(c) for o, c in ("()", "（）", "[]", "「」", "『』", "“”")) > 0 or end.count('"') % 2 == 1 or end.count("```") % 2 == 1
     dangling = end[-1] in ",:;、，：；(（[「『“-–—" or bool(re.search(r"(?:^|\n)\s*(?:\d+[.)]|[-*•·・])\s*\Z", end))
     pt = plain(t)
+    closed = closed and not dangling
     prefix = 1 if t and len(letters) >= 3 and pt.startswith(letters) and len(letters) < len(pt) and not closed else -1 if t and letters == pt else 0
     value = bool(_VALUE_END.search(line[-160:])) and (bool(re.search(r"[=:/<+@]|\d{3}", line[-40:])) or len(end) < 12)
     item = bool(_LIST_ITEM.match(line))
@@ -185,12 +194,13 @@ def votes(question: str | None, answer: str | None, truth: str | None, ends: lis
     finished = closed or (la_ == "ko" and bool(_KO_END.search(end))) or (la_ == "ja" and bool(_JA_END.search(end)))
     phrase = not finished and len(answers) == 1 and not re.search(r"(?:은|는|을|를|이며|하고|에서|면)(?:\s|$)", end) and not (la_ == "en" and end[:1].isupper() and len(end.split()) > 3) and len(end) < 100
     shape = -1 if finished or value or any(sorry) else 1 if not phrase and not item else 0
-    out["truncated"] = [1 if opens or dangling else -1 if closed else 0, prefix, 1 if opens else 0, 1 if dangling else 0, -1 if finished and not dangling else goes_on if not value else -1, 0 if finished or value else 1 if strange and not phrase else goes_on if item or phrase else 0, shape if not (opens or dangling) else 1]
+    # Each function looks at one thing: the last mark, the truth, open brackets, the last character, how others go on, the last token, the grammar of the end.
+    out["truncated"] = [-1 if closed else 0, prefix, 1 if opens else 0, 1 if dangling else 0, 0 if value else goes_on, 1 if strange and not value and not phrase else 0, shape]
     return out
 
 
 #: Labelling functions of each defect.
-SIZES = {"empty": 3, "copied_question": 4, "refusal": 4, "wrong_language": 4, "truncated": 7}
+SIZES = {"empty": 4, "copied_question": 4, "refusal": 4, "wrong_language": 4, "truncated": 7}
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
@@ -254,6 +264,8 @@ def vote(logs: DataFrame) -> DataFrame:
             for i, a in zip(batch.column("log_id").to_pylist(), batch.column("answer").to_pylist()):
                 if a := visible(a):
                     for k, h in enumerate(end_contexts(a)):
+                        if not h:  # the answer has no so many tokens
+                            continue
                         ids.append(i)
                         no.append(k)
                         hs.append(h)
