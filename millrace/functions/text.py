@@ -102,3 +102,8 @@ def preview(text: Column, chars: int = 180) -> Column:
     """A text on one line, cut to ``chars`` with an ellipsis."""
     flat = F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " "))
     return F.when(F.length(flat) > chars, F.concat(F.rtrim(F.substring(flat, 1, chars - 1)), F.lit("…"))).otherwise(flat)
+
+
+def rough_sentences(text: Column) -> Column:
+    """A text cut behind end marks that white space follows, by pattern alone: for scores, not for units."""
+    return F.split(text, r"(?<=[.!?。？！\n])\s+", -1)

@@ -241,3 +241,31 @@ def prescreen(docs: DataFrame, spans: DataFrame, configs: list[tuple[int, int]])
     out = contained.filter("contained > 0").join(t, ["size", "overlap"])
     place = F.row_number().over(W.Window.orderBy(F.desc("contained"), "chars", "size"))
     return out.select("size", "overlap", "contained", F.col("chunks").cast("bigint").alias("chunks"), F.round(F.col("chars") / F.col("all"), 6).alias("duplication"), place.alias("place"))
+
+
+# Kinds of questions of a test set and their shares; a smaller set has the first kind only.
+KINDS, LEAST_MIXED = {"synthesised": 0.75, "persona": 0.2, "no_answer": 0.05}, 8
+
+
+def budget(n: Column) -> Column:
+    """array of struct(kind, share): ``n`` cut by largest remainder, ties in the order of kinds."""
+    raw = F.array(*(F.struct((F.floor(F.round(n * x, 9))).cast("bigint").alias("whole"), F.round(n * x - F.floor(F.round(n * x, 9)), 9).alias("rest"), F.lit(k).alias("kind"), F.lit(i).alias("i")) for i, (k, x) in enumerate(KINDS.items())))
+    left = n - F.aggregate(raw, F.lit(0).cast("bigint"), lambda s, x: s + x["whole"])
+    order = F.transform(F.array_sort(F.transform(raw, lambda x: F.struct((-x["rest"]).alias("r"), x["i"].alias("i")))), lambda x: x["i"])
+    mixed = F.transform(raw, lambda x: F.struct(x["kind"].alias("kind"), (x["whole"] + F.when(F.array_position(order, x["i"]) <= left, 1).otherwise(0)).cast("bigint").alias("share")))
+    only = F.transform(raw, lambda x: F.struct(x["kind"].alias("kind"), F.when(x["i"] == 0, n).otherwise(0).cast("bigint").alias("share")))
+    return F.when(n < LEAST_MIXED, only).otherwise(mixed)
+
+
+def even_places(n: Column, m: int) -> Column:
+    """Array of ``m`` places from 0 to n - 1, spread evenly, halves to the even neighbour; all of fewer."""
+    every = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(m)).cast("int") - 1), lambda i: i.cast("bigint"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.bround(i * (n - 1) / float(max(1, m - 1)), 0).cast("bigint"))
+    return F.when(n <= m, F.when(n > 0, every)).otherwise(spread)
+
+
+def config_diff(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """(*keys, key, before, after): the entries that differ between two maps of a row; a missing entry is null."""
+    names = F.explode(F.array_distinct(F.concat(F.map_keys(before), F.map_keys(after)))).alias("key")
+    out = df.select(*keys, names, before, after).select(*keys, "key", F.try_element_at(F.col(before), F.col("key")).alias("before"), F.try_element_at(F.col(after), F.col("key")).alias("after"))
+    return out.filter(~F.col("before").eqNullSafe(F.col("after")))

@@ -100,13 +100,15 @@ def agg30_snapshot_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.count("*").alias("snapshots"), F.round(F.max("delta"), 6).alias("best_gain"), F.round(F.min("delta"), 6).alias("worst_loss"), F.round(F.max_by("value", "event_id"), 6).alias("latest"))
 
 
-@query("WITH e AS (SELECT user_id % 50 AS run_id, event_type, count(*) AS n, max(value) AS best FROM events GROUP BY 1, 2) SELECT run_id, sum(CASE WHEN event_type = 'view' THEN n ELSE 0 END) AS n_view, sum(CASE WHEN event_type = 'click' THEN n ELSE 0 END) AS n_click, sum(CASE WHEN event_type = 'purchase' THEN n ELSE 0 END) AS n_purchase, round(max(best), 6) AS best FROM e GROUP BY 1")
+_LABELS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("WITH e AS (SELECT user_id % 50 AS run_id, event_type, count(*) AS n, max(value) AS best FROM events GROUP BY 1, 2) SELECT run_id, " + ", ".join(f"CAST(sum(CASE WHEN event_type = '{x}' THEN n ELSE 0 END) AS BIGINT) AS n_{x}" for x in _LABELS) + ", round(max(best), 6) AS best FROM e GROUP BY 1")
 def snk11_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A column per label for each run."""
-    e = table(spark, sf_dir, "events").withColumn("run_id", F.col("user_id") % 50)
-    n = e.groupBy("run_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.count("event_id")).fillna(0)
-    best = e.groupBy("run_id").agg(F.round(F.max("value"), 6).alias("best"))
-    return n.join(best, "run_id").select("run_id", F.col("view").alias("n_view"), F.col("click").alias("n_click"), F.col("purchase").alias("n_purchase"), "best")
+    """A column per label for each run, for all labels that there are; the driver sees the labels, at most ``spark.sql.pivotMaxValues`` of them, beyond which Spark refuses."""
+    e = table(spark, sf_dir, "events").withColumn("run_id", F.col("user_id") % 50).withColumn("label", F.concat(F.lit("n_"), F.col("event_type")))
+    n = e.groupBy("run_id").pivot("label").agg(F.count("event_id")).fillna(0)
+    return n.join(e.groupBy("run_id").agg(F.round(F.max("value"), 6).alias("best")), "run_id")
 
 
 @query("""WITH c AS (SELECT chunk_id, list_sort(list_distinct(list_filter(entities, lambda x: x IS NOT NULL AND x <> ''))) AS e FROM (SELECT DISTINCT chunk_id, entities FROM kg_nodes WHERE len(entities) > 0)), x AS (SELECT DISTINCT chunk_id, unnest(e) AS entity FROM c),

@@ -38,4 +38,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["agg13_corpus_summary"](spark, sf_dir)
 
 
-from . import corpus, evidence, flows, logs, pages, records, search, tables  # noqa: E402, F401  (their queries register themselves)
+from . import corpus, evidence, flows, grounding, logs, pages, records, search, tables  # noqa: E402, F401  (their queries register themselves)

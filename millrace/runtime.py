@@ -33,10 +33,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) a local folder is made.
+    (tests, a single machine) a local folder is made, and refused on a cluster.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
         os.makedirs(named, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", named)

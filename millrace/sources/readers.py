@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from ..runtime import cut
+
 #: Tried in turn on a file's bytes. Fixed values.
 ENCODINGS = ["utf-8-sig", "cp949"]
 #: Keys of a question set's fields, the first present one counting. Fixed values.
@@ -108,17 +110,20 @@ def first_documents(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
 BLOCKS = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "to_do": "- [ ] ", "quote": "> "}
 
 
-def block_tree(blocks: DataFrame, depth: int = 32) -> DataFrame:
+def block_tree(blocks: DataFrame) -> DataFrame:
     """(page_id, content) of a table of blocks (page_id, block_id, parent_id, pos, type, text) in pre-order.
 
-    Paths grow level by level in a join per level, until a level is empty.
+    Paths grow level by level in a join per level, until a level is empty;
+    each level is cut, so that a deep tree makes no long plan. Blocks that
+    hang under each other in a ring belong to no page and come never up.
     """
     prefix = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in BLOCKS.items() for x in kv)), F.col("type")), F.lit(""))
     b = blocks.select("page_id", "block_id", "parent_id", F.format_string("%08d", "pos").alias("_p"), F.concat(prefix, F.coalesce("text", F.lit(""))).alias("line"))
     level = b.filter("parent_id is null").withColumn("path", F.col("_p"))
     done = level
-    for _ in range(depth):
+    while True:
         level = b.join(level.select(F.col("block_id").alias("parent_id"), F.col("path").alias("_up")), "parent_id").withColumn("path", F.concat_ws("/", "_up", "_p")).drop("_up")
+        level = cut(level)
         if level.isEmpty():
             break
         done = done.unionByName(level)

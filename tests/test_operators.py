@@ -1,14 +1,16 @@
 """Operators against hand cases, brute force and invariants."""
 
 import json
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import hashed
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import chunking, diagnose, intervals, judged, optimize, preprocess, report, retrieval
+from millrace.operators import chunking, diagnose, grounding, intervals, judged, optimize, preprocess, report, retrieval
 from millrace.sources import readers, writers
 from millrace.streaming import progress
 
@@ -144,7 +146,8 @@ def test_dense_top_and_mmr(spark):
     i = spark.createDataFrame(items, "item_id int, embedding array<float>").repartition(5)
     q = spark.createDataFrame([(1, [1.0] * 8), (2, items[0][1])], "query_id int, embedding array<float>")
     got = retrieval.dense_top(q, i, 5).collect()
-    want = retrieval.top(retrieval.dense_scores(q, i).withColumn("score", F.round("score", 6)), "query_id", "score", "item_id", 5).collect()
+    every = i.withColumnRenamed("embedding", "_i").crossJoin(q).select("query_id", "item_id", F.round(V.cosine(F.col("embedding"), F.col("_i")), 6).alias("score"))
+    want = retrieval.top(every, "query_id", "score", "item_id", 5).collect()
     assert sorted((x.query_id, x.rank, x.item_id) for x in got) == sorted((x.query_id, x.rank, x.item_id) for x in want)
     pool = spark.createDataFrame([(1, 1, 0.5, 1, [1.0, 0.0]), (1, 2, 0.5, 2, [1.0, 0.0]), (1, 3, 0.5, 3, [0.0, 1.0]), (2, 1, 0.9, 1, None)], "query_id int, item_id int, score double, rank int, embedding array<double>")
     got = {(x.query_id, x.place): (x.item_id, x.applied) for x in retrieval.mmr(pool, 0.5, 2).collect()}
@@ -273,3 +276,71 @@ def test_streams(spark, tmp_path):
     assert {(r.stage, r.n) for r in out.collect()} == {("index", 2), ("eval", 1)}
     assert one(spark, progress.percent(F.lit("index"))) == 35 and one(spark, progress.percent(F.lit("serve"))) == 95
     assert progress.after(spark.createDataFrame(rows, "event_id bigint, at string, run string, stage string, iteration int"), 2).count() == 2
+
+
+def test_minimal_cover_against_a_loop(spark):
+    r = random.Random(11)
+    chunks = [(f"c{d}-{i}", d, a, a + r.randint(1, 25)) for d in range(6) for i, a in enumerate(r.sample(range(60), 9))]
+    spans = [(k, r.randrange(6), a, a + r.randint(0, 30)) for k, a in enumerate(r.randrange(70) for _ in range(120))]
+    want = {}
+    for k, d, a, b in spans:
+        own = [(c, x, y) for c, e, x, y in chunks if e == d and x < b and y > a]
+        if b <= a or not own:
+            continue
+        whole = [(y - x, x, c) for c, x, y in own if x <= a and y >= b]
+        if whole:
+            want[k] = [min(whole)[2]]
+            continue
+        parts, at, ids = sorted((c, max(a, x), min(b, y)) for c, x, y in own), a, []
+        while at < b and (fits := [p for p in parts if p[1] <= at < p[2]]):
+            best = max(fits, key=lambda p: (p[2], -p[1]))
+            ids.append(best[0])
+            at = best[2]
+        want[k] = ids if at >= b else [p[0] for p in parts]
+    s = spark.createDataFrame([*spans, (999, None, 1, 2)], "span_id int, doc_id int, s_start int, s_end int")
+    got = {}
+    for x in sorted(grounding.minimal_cover(s, spark.createDataFrame(chunks, "chunk_id string, doc_id int, c_start int, c_end int")).collect()):
+        got.setdefault(x.span_id, []).append(x.chunk_id)
+    assert got == want and any(len(v) > 1 for v in want.values())
+
+
+def test_hashed_vectors(spark):
+    places, weights = hashed.sparse_of("a a b")
+    assert len(places) == 2 and places == sorted(places) and sum(w * w for w in weights) == pytest.approx(1)
+    assert max(weights) / min(weights) == pytest.approx(1 + math.log(2)) and hashed.sparse_of("") == ([], [])
+    assert not hashed.dense_of("").any() and abs(hashed.dense_of("abc def") @ hashed.dense_of("abc def") - 1) < 1e-12
+    d = spark.createDataFrame([("ab cd", "cd ef"), (None, "x"), ("", "y")], "a string, b string")
+    v = d.select(hashed.sparse_vector(F.col("a")).alias("x"), hashed.sparse_vector(F.col("b")).alias("y"), hashed.dense_vector(F.col("a"), 16).alias("v"))
+    out = v.select(hashed.sparse_dot(F.col("x"), F.col("y")).alias("s"), "v").collect()
+    assert out[0].s == pytest.approx(0.5) and out[1].s == out[2].s == 0.0 and out[1].v is None and len(out[2].v) == 16
+
+
+def test_gold_coverage_and_redundancy(spark):
+    rows = [(1, ["a paragraph of gold"], ["before", "a paragraph\n of gold", None]), (2, ["short"], ["short"]), (3, ["half of it is here, half not at all"], ["half of it is here"]), (4, None, ["x"]), (5, ["long enough gold text"], [])]
+    got = {x.id: x.coverage for x in grounding.gold_coverage(spark.createDataFrame(rows, "id int, g array<string>, t array<string>"), "id", "g", "t").collect()}
+    assert got[1] == 1.0 and got[2] is got[4] is got[5] is None and 0.5 <= got[3] < 0.7
+    ranked = [(1, i, r, s, g, 2, 50) for i, r, s, g in (("a", 1, ["x", "y"], False), ("b", 2, ["x", "y"], False), ("c", 3, ["z"], False), ("d", 4, ["x", "y"], False), ("g", 5, ["q"], True))]
+    out = grounding.redundant_above(spark.createDataFrame(ranked, "query_id int, item_id string, rank int, shingles array<string>, is_gold boolean, top_k int, window int")).collect()
+    assert [tuple(x) for x in out] == [(1, "g", 5, 2, 3)]
+
+
+def test_dense_queries_in_parts(spark, monkeypatch):
+    r = random.Random(6)
+    i = spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(4)]) for k in range(50)] + [(99, None)], "item_id int, embedding array<double>")
+    q = spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(4)]) for k in range(20)] + [(77, None)], "query_id int, embedding array<double>")
+    want = sorted(map(tuple, retrieval.dense_top(q, i, 3).collect()))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 6)
+    assert sorted(map(tuple, retrieval.dense_top(q, i, 3).collect())) == want and len(want) == 60
+    assert retrieval.dense_top(q.limit(0), i, 3).count() == 0
+
+
+def test_measured_values_drive_out_guesses(spark):
+    f = spark.createDataFrame([("1", "retrieval_missing_gold", "A", True), ("2", "chunking_overchunking", "A", False), ("2", "corpus_gap", "D", True)], "probe_id string, label string, grp string, confirmed boolean")
+    a = optimize.actions(optimize.supports(f))
+    v = spark.createDataFrame([("chunk_size", "retrieval_missing_gold", 1, "900"), ("chunk_size", "retrieval_missing_gold", 2, "700")], "path string, label string, place int, value string")
+    got = {x.action: (x["values"], x.grounded) for x in optimize.grounded(a, v).collect()}
+    assert got["increase_chunk_size"] == (["900", "700"], 1) and got["increase_top_k"] == (["increase"], 0) and "locate_missing_evidence" not in got
+    assert {x.probe_id: x.mode for x in optimize.split(f, ["probe_id"]).collect()} == {"1": "apply", "2": "manual"}
+    values = spark.createDataFrame([("a", "b1", "7", "e7"), ("a", "b1", "9", "e9"), ("a", "b2", "7", "e0")], "action string, baseline string, value string, effective string")
+    attempts, still = spark.createDataFrame([("a", "b1", "7")], "action string, baseline string, value string"), spark.createDataFrame([("e0",)], "effective string")
+    assert [x.value for x in optimize.untried(values, attempts, still).collect()] == ["9"]
