@@ -43,11 +43,16 @@ class Limit:
             raise ValueError(f"no such limit: {self}")
 
 
+_LINE_END = re.compile(r"\r\n?|\n")
+
+
 def normalise(text: str) -> str:
     """NFKC, line ends to ``\\n``, trailing white space of lines off, at most one blank line, ends trimmed."""
-    text = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n")
-    text = "\n".join(line.rstrip() for line in text.split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    kept: list[str] = []
+    for line in map(str.rstrip, _LINE_END.split(unicodedata.normalize("NFKC", text))):
+        if line or (kept and kept[-1]):
+            kept.append(line)
+    return "\n".join(kept).strip()
 
 
 def _is(points: np.ndarray, chars: str) -> np.ndarray:
@@ -198,9 +203,11 @@ def split(items: DataFrame, limit: Limit, normal: bool = False, headings: bool =
                     p = p or [(0, 0, 0)]
                     heads = [(m.start(), m.group(1)) for m in _HEADING.finditer(t)] if headings and len(p) > 1 else []
                     size = len(t) if limit.unit == "chars" else sum(x[2] for x in p) if len(p) == 1 else len(t.split())
+                    inside = 0  # headings that begin at or before the piece, of which there are more with each piece
                     for k, (a, b, n) in enumerate(p):
-                        inside = [h for x, h in heads if x <= a]
-                        rows.append((k, len(p), a, b, n, size, inside[-1] if inside else sections[i], t[a:b] if with_text else None))
+                        while inside < len(heads) and heads[inside][0] <= a:
+                            inside += 1
+                        rows.append((k, len(p), a, b, n, size, heads[inside - 1][1] if inside else sections[i], t[a:b] if with_text else None))
                         take.append(i)
                 index = pa.array(take, pa.int64())
                 columns = [part.column(n).take(index) for n in [*names, "content_hash"]]
@@ -219,9 +226,16 @@ def latest(pieces: DataFrame, key: list[str]) -> DataFrame:
     return once.withColumn("_best", F.max(F.struct("version", "content_hash")).over(by)).filter(F.struct("version", "content_hash").eqNullSafe(F.col("_best"))).drop("_best")
 
 
+#: Kinds of items.
+KINDS = ("doc", "draft", "chunk")
+
+
 def limits_of(size_limits: DataFrame) -> dict[str, Limit]:
     """The limits by item_kind; a control table of a row per kind."""
-    return {r.item_kind: Limit(r.size_unit, r.max_size, r.overlap_size) for r in size_limits.collect()}
+    rows = size_limits.filter(F.col("item_kind").isin(*KINDS)).limit(len(KINDS) + 1).collect()
+    if sorted(r.item_kind for r in rows) != sorted(KINDS):
+        raise ValueError(f"size_limits needs one row for each of {', '.join(KINDS)}")
+    return {r.item_kind: Limit(r.size_unit, r.max_size, r.overlap_size) for r in rows}
 
 
 def split_tables(raw_docs: DataFrame, chunk_drafts: DataFrame, chunk_rows: DataFrame, size_limits: DataFrame, with_text: bool = True) -> DataFrame:

@@ -117,3 +117,32 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(sized(spark), targets.limit(0)).count() == 0
     report = mixing.shares(mixing.mix(sized(spark).limit(0), targets), targets).collect()
     assert {r.reached_share for r in report} == {0.0}
+
+
+def test_mix_keeps_shares_and_inclusion(spark):
+    """Reached shares are the targets within a document's tokens, caps hold, and over many seeds documents of one source come in about equally often by their weights."""
+    rows = [(i, "ab"[i % 3 == 0], 10 + i % 7) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
+    size = {i: (s, n) for i, s, n in rows}
+    mixed = [(x.doc_id, x.copies) for x in mixing.mix(docs, targets).collect()]
+    total = sum(size[i][1] * c for i, c in mixed)
+    for s, share, cap in (("a", 0.7, 2), ("b", 0.3, 1)):
+        own = [(i, c) for i, c in mixed if size[i][0] == s]
+        assert all(0 < c <= cap for _, c in own) and abs(sum(size[i][1] * c for i, c in own) / total - share) < 0.01
+    assert {x.source: round(x.reached_share, 2) for x in mixing.shares(mixing.mix(docs, targets), targets).collect()} == {"a": 0.7, "b": 0.3}
+
+
+def test_mix_inclusion_follows_weights(spark):
+    """Over seeds, documents come in as often as their weight says, whatever their size."""
+    rows = [(i, "a" if i < 500 else "b", 10 + i % 7, 1.0 + i % 2) for i in range(560)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, w double")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 4)], "source string, target_share double, max_repeats int")
+    seen = {}
+    for seed in range(4):
+        for x in mixing.mix(docs, targets, seed=seed, weight="w").collect():
+            seen[x.doc_id] = seen.get(x.doc_id, 0) + x.copies
+    light, heavy = (sum(seen.get(i, 0) for i in range(k, 500, 2)) / 1000 for k in (0, 1))
+    assert 0 < light < heavy <= 1 and abs(heavy / light - 2) < 0.25
+    small, large = (sum(seen.get(i, 0) for i in range(500) if i % 7 == k) for k in (0, 6))
+    assert abs(small / large - 1) < 0.3
