@@ -126,13 +126,14 @@ def agg15_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.join(binned, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("from_chars"), (F.col("lo") + (F.col("bin") + 1) * F.col("width") - 1).alias("to_chars"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKENS_SQL})) AS term FROM documents WHERE text IS NOT NULL)
-SELECT term, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t WHERE length(term) >= 2 GROUP BY 1 ORDER BY n DESC, term LIMIT 50""")
+@query(f"""WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), {TOKENS_SQL}) AS l FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(l) AS term, unnest(range(0, len(l))) AS pos FROM l),
+f AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS documents, min([doc_id, pos]) AS first FROM t WHERE length(term) >= 2 GROUP BY 1) SELECT term, n, documents FROM f ORDER BY n DESC, first LIMIT 50""")
 def agg17_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty most frequent terms."""
-    t = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).filter(F.length("term") >= 2)
-    per = t.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("documents")).orderBy(F.desc("n"), "term").limit(50)
+    """The fifty most frequent terms, of equals the one that comes first in the order of documents."""
+    t = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term")).filter(F.length("term") >= 2)
+    per = t.groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    out = per.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("documents"), F.min(F.struct("doc_id", "pos")).alias("_first"))
+    return out.orderBy(F.desc("n"), "_first").limit(50).drop("_first")
 
 
 @query(f"""WITH k AS (SELECT DISTINCT chunk_id, text FROM kg_nodes WHERE text IS NOT NULL), t AS (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(lower(text), {TOKENS_SQL}))) AS term, text FROM k),

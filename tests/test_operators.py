@@ -344,3 +344,13 @@ def test_measured_values_drive_out_guesses(spark):
     values = spark.createDataFrame([("a", "b1", "7", "e7"), ("a", "b1", "9", "e9"), ("a", "b2", "7", "e0")], "action string, baseline string, value string, effective string")
     attempts, still = spark.createDataFrame([("a", "b1", "7")], "action string, baseline string, value string"), spark.createDataFrame([("e0",)], "effective string")
     assert [x.value for x in optimize.untried(values, attempts, still).collect()] == ["9"]
+
+
+def test_spans_misses_and_basis(spark):
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("exact").alias("quality")), F.struct(F.lit(3).alias("start"), F.lit(4).alias("end"), F.lit("chunk_fallback").alias("quality")))
+    assert [x.start for x in one(spark, grounding.exact_spans(spans))] == [0] and [x.end for x in one(spark, grounding.aliases(spans, F.lit("abc")))] == [5]
+    assert one(spark, grounding.missed(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b")))) == ["a"]
+    none = F.lit(None).cast("double")
+    assert tuple(one(spark, grounding.recall_basis(none, F.lit(0.5)))) == (0.5, "chunk") and tuple(one(spark, grounding.recall_basis(F.lit(0.0), F.lit(0.5)))) == (0.0, "span")
+    assert one(spark, optimize.eligibility({"capable": F.lit(False), "mappable": F.lit(False), "in_catalog": F.lit(None).cast("boolean")})) == "mappable"
+    assert one(spark, optimize.even_places(F.lit(0), 3)) is None and one(spark, optimize.even_places(F.lit(2), 3)) == [0, 1] and one(spark, optimize.even_places(F.lit(10), 3)) == [0, 4, 9]
