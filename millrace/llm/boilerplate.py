@@ -250,6 +250,14 @@ class Known(NamedTuple):
 
     classes: DataFrame
     moved: DataFrame
+    owners: DataFrame  # (hash, at): lines that are template of one site only
+
+
+def other_site(own: DataFrame, owners: DataFrame) -> DataFrame:
+    """(item_id, text_hash, at): the site, other than its own, most of whose own lines an item has."""
+    lines = own.select("item_id", "text_hash", "site", F.explode(F.arrays_zip("element", "form")).alias("e")).filter(F.shiftright(F.col("e.form").cast("int"), 2) == _LINE).select("item_id", "text_hash", "site", F.col("e.element").alias("hash"))
+    votes = lines.join(owners, "hash").filter("site is null or site <> at").groupBy("item_id", "text_hash", "at").agg(F.count("*").alias("n"), F.max("site").alias("site")).filter("n >= 2 or site is null")
+    return votes.groupBy("item_id", "text_hash").agg(F.max(F.struct("n", (-F.col("at")).alias("at")))["at"].alias("at")).select("item_id", "text_hash", (-F.col("at")).alias("at"))
 
 
 def learn(own: DataFrame) -> Known:
@@ -274,9 +282,8 @@ def learn(own: DataFrame) -> Known:
     titled = F.col("class").bitwiseAND(TITLE) > 0
     classes = c.join(everywhere, "hash", "left").withColumn("class", F.when(titled, F.col("class")).otherwise(F.col("class").bitwiseOR(F.coalesce("_p", F.lit(0))))).filter("class > 0").select("site", "hash", "class")
     classes = cut(classes.unionByName(link_keys(named)))
-    lines = own.select("item_id", "text_hash", "site", F.explode(F.arrays_zip("element", "form")).alias("e")).filter(F.shiftright(F.col("e.form").cast("int"), 2) == _LINE).select("item_id", "text_hash", "site", F.col("e.element").alias("hash"))
-    votes = lines.join(over.filter("sites = 1").select("hash", "at"), "hash").filter("site is null or site <> at").groupBy("item_id", "text_hash", "at").agg(F.count("*").alias("n"), F.max("site").alias("site")).filter("n >= 2 or site is null")
-    best = votes.groupBy("item_id", "text_hash").agg(F.max(F.struct("n", (-F.col("at")).alias("at")))["at"].alias("at")).select("item_id", "text_hash", (-F.col("at")).alias("at"))
+    owners = over.filter("sites = 1").select("hash", "at")
+    best = other_site(own, owners)
     few = named.groupBy("site").agg(F.count("*").alias("n")).filter(F.col("n") < LEAST_PAGES).select("site", F.lit(True).alias("_few"))
     narrow = own.select("item_id", "text_hash", "site", "hashes").join(best, ["item_id", "text_hash"], "left").join(few, "site", "left")
     moved = cut(narrow.withColumn("site", F.coalesce("at", F.when(F.col("site").isNull() | F.col("_few"), F.lit(POOL)))).filter("site is not null").select("item_id", "text_hash", "site", "hashes"))
@@ -286,7 +293,7 @@ def learn(own: DataFrame) -> Known:
         pool = classed(loose).select("hash", "class").join(everywhere, "hash", "full").withColumn("class", F.coalesce("class", F.lit(0)))
         pool = pool.withColumn("class", F.when(titled, F.col("class")).otherwise(F.col("class").bitwiseOR(F.coalesce("_p", F.lit(0))))).filter("class > 0")
         classes = cut(classes.unionByName(pool.select(F.lit(POOL).cast("bigint").alias("site"), "hash", "class")).unionByName(link_keys(loose)))
-    return Known(classes, moved)
+    return Known(classes, moved, owners)
 
 
 def judge(lines: list[tuple | None], own_title: int | None, known: dict[int, int]) -> list[bool]:
@@ -377,7 +384,7 @@ def not_body(source_docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     are lines of its page and are judged there, in their context; a line text
     that a page has several times is out if most of its places are. A chunk
     with a line that its page doesn't have, or without its page, is judged by
-    itself, on its page's site or that of its url. Null and empty texts have no
+    itself, on its page's site or that of its url, and that whose lines it has. Null and empty texts have no
     lines; a row delivered twice counts once; an item with several texts is
     judged in each, told apart by ``text_hash``, Spark's xxhash64 of the text.
     """
@@ -395,8 +402,11 @@ def not_body(source_docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     if not alone.isEmpty():
         sites = own.filter("site is not null").select("item_id", "site").unionByName(known.moved.select("item_id", "site")).filter(F.col("site") != POOL).groupBy(F.col("item_id").alias("page_id")).agg(F.max("site").alias("_at"))
         odd = chunks.join(alone, ["item_id", "text_hash"], "left_semi").join(sites, "page_id", "left")
-        odd = odd.withColumn("site", F.coalesce("_at", F.when(host_of(F.col("url")).isNotNull(), F.xxhash64(host_of(F.col("url")))), F.lit(POOL)))
-        by_self = judged(pages(odd), Known(known.classes, known.moved.limit(0))).filter("out").select("item_id", "text_hash", "line_no")
+        odd = odd.withColumn("site", F.coalesce("_at", F.when(host_of(F.col("url")).isNotNull(), F.xxhash64(host_of(F.col("url"))))))
+        odd = cut(pages(odd))
+        moved = odd.select("item_id", "text_hash", "site", "hashes").join(other_site(odd, known.owners), ["item_id", "text_hash"], "left")
+        moved = moved.withColumn("site", F.coalesce("at", F.when(F.col("site").isNull(), F.lit(POOL)))).filter("site is not null").drop("at")
+        by_self = judged(odd, known._replace(moved=moved)).filter("out").select("item_id", "text_hash", "line_no")
         first = first.join(alone, ["item_id", "text_hash"], "left_anti").unionByName(by_self)
     return first.distinct()
 
