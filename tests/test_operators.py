@@ -162,6 +162,31 @@ def test_keyword_scores(spark):
     assert got == {"a": 0.25, "b": pytest.approx(0.75)}
 
 
+def test_keyword_top_is_the_top_of_all_scores(spark, monkeypatch):
+    r, words = random.Random(8), ["사과", "풋사과를", "사과3", "a/b", "xa/by", "apple", "pineapple", "3/4", "13/4", "7"]
+    said = lambda n: " ".join(r.choice(words) for _ in range(n))
+    q = spark.createDataFrame([(i, said(r.randint(1, 9))) for i in range(40)] + [(98, "?!"), (99, "사과 " * 300)], "query_id int, question string")
+    c = spark.createDataFrame([(f"c{r.randint(0, 120):03}", said(r.randint(0, 12))) for _ in range(200)] + [("many", "풋사과 " * 280), (None, "apple")], "chunk_id string, chunk_text string").repartition(3)
+    want = sorted(map(tuple, retrieval.top(retrieval.keyword_scores(q, c), "query_id", "score", "chunk_id", 4).select("query_id", "chunk_id", "score", "rank").collect()), key=str)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # many blocks a partition
+    try:
+        assert sorted(map(tuple, retrieval.keyword_top(q, c, 4).collect()), key=str) == want
+        monkeypatch.setattr(retrieval, "MOST_QUERIES", 9)
+        assert sorted(map(tuple, retrieval.keyword_top(q, retrieval.spread(c, "chunk_id"), 4).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert retrieval.keyword_top(q.limit(0), c, 4).count() == retrieval.keyword_top(q, c.limit(0), 4).count() == 0
+
+
+def test_keyword_search_joins_no_pairs(spark):
+    q = spark.createDataFrame([(i, "one two") for i in range(30)], "query_id int, question string")
+    c = spark.createDataFrame([(f"c{i:03}", "one two three") for i in range(400)], "chunk_id string, chunk_text string")
+    got = retrieval.keyword_top(q, c, 5)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.query_id, x.rank, x.chunk_id) for x in got.collect()) == [(i, k + 1, f"c{k:03}") for i in range(30) for k in range(5)]
+
+
 BASE = {"probe_id": "p", "has_truth": True, "answer_exists": True, "recall_at_k": 0.0, "top_k": 5, "missed": 1, "f1": 0.1, "oracle_f1": 0.9, "oracle_answered": True}
 CASES = [
     ({"recall_at_k": 1.0, "f1": 0.9}, []),
