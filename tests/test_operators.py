@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hashed
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import chunking, diagnose, grounding, intervals, judged, optimize, preprocess, report, retrieval
+from millrace.operators import chunking, diagnose, grounding, intervals, judged, neighbours, optimize, preprocess, report, retrieval
 from millrace.sources import readers, writers
 from millrace.streaming import progress
 
@@ -187,6 +187,37 @@ def test_keyword_search_joins_no_pairs(spark):
     assert sorted((x.query_id, x.rank, x.chunk_id) for x in got.collect()) == [(i, k + 1, f"c{k:03}") for i in range(30) for k in range(5)]
 
 
+def test_jaccard_top_against_all_pairs(spark, monkeypatch):
+    r = random.Random(9)
+    sets = {i * 3: r.sample(range(1, 15), r.randint(1, 8)) for i in range(150)} | {1000 + i: [7, 8, 9] for i in range(60)} | {2000: list(range(20, 28)), 2001: []}
+    ids = {t: r.getrandbits(63) - (1 << 62) for t in range(1, 30)}
+    want = set()
+    for x, a in sets.items():
+        near = [(-round(len({*a} & {*b}) / len({*a} | {*b}), 9), y) for y, b in sets.items() if y != x and a and b and len({*a} & {*b}) / len({*a} | {*b}) >= 0.3]
+        want |= {(x, y, -w, i + 1) for i, (w, y) in enumerate(sorted(near)[:2])}
+    d = spark.createDataFrame([(i, [ids[t] for t in s]) for i, s in sets.items()], "id bigint, terms array<bigint>")
+    assert set(map(tuple, neighbours.jaccard_top(d, 0.3, 2).collect())) == want and len(want) > 300
+    at = [(x, len(s), sorted(ids[t] for t in s)) for x, s in sets.items() if s]
+    rows = [(x, n, t[i:]) for x, n, t in at for i in range(n)]
+    import numpy as np
+
+    def near(rows):
+        b = neighbours._nearest(np.array([x for x, _, _ in rows]), np.array([n for _, n, _ in rows]), [np.array(t) for _, _, t in rows], 0.3, 2).to_pydict()
+        return sorted(zip(b["node"], b["other"], b["weight"]))
+
+    whole = near(rows)
+    monkeypatch.setattr(neighbours, "MOST_SUBSETS", 500)  # many passes
+    assert near(rows) == whole
+
+
+def test_keyword_graph_joins_no_pairs(spark):
+    # Sets that are all alike: each has all others for neighbours, of which two count.
+    got = neighbours.jaccard_top(spark.createDataFrame([(i, [1, 2, 3, 4, 5, 6, 7, 8]) for i in range(20000)], "id bigint, terms array<bigint>"), 0.3, 2)
+    assert got.count() == 40000 and {x.other for x in got.collect()} == {0, 1, 2}
+    d = spark.createDataFrame([("a", ["b", "c", "a", "b"]), ("n", None), ("e", [])], "id string, t array<string>")
+    assert {x.id: x.k for x in d.select("id", neighbours.most_frequent(F.col("t"), 2).alias("k")).collect()} == {"a": ["b", "a"], "n": None, "e": []}
+
+
 BASE = {"probe_id": "p", "has_truth": True, "answer_exists": True, "recall_at_k": 0.0, "top_k": 5, "missed": 1, "f1": 0.1, "oracle_f1": 0.9, "oracle_answered": True}
 CASES = [
     ({"recall_at_k": 1.0, "f1": 0.9}, []),
