@@ -25,6 +25,14 @@ def _digest(feature: str, size: int) -> bytes:
     return hashlib.blake2b(feature.encode(), digest_size=size).digest()
 
 
+@functools.lru_cache(1 << 18)
+def _signed(feature: str, dimensions: int) -> int:
+    """A feature's place, or its complement where it counts as negative."""
+    d = hashlib.blake2b(feature.encode(), digest_size=16).digest()
+    place = int.from_bytes(d[:8], "big") % dimensions
+    return ~place if d[8] % 2 else place
+
+
 def sparse_of(text: str, dimensions: int = 1 << 20) -> tuple[list[int], list[float]]:
     """Places, in order, and weights of a text's tokens: one plus the logarithm of their count, added where places collide, to length one."""
     weights: dict[int, float] = {}
@@ -38,12 +46,9 @@ def sparse_of(text: str, dimensions: int = 1 << 20) -> tuple[list[int], list[flo
 
 def dense_of(text: str, dimensions: int = 64) -> np.ndarray:
     """Signed counts of a text's tokens and character triples in hashed places, to length one."""
-    out = np.zeros(dimensions)
-    features = Counter(_TOKENS.findall(text.lower()))
-    features.update(text[i : i + 3] for i in range(len(text) - 2))
-    for feature, n in features.items():
-        d = _digest(feature, 16)
-        out[int.from_bytes(d[:8], "big") % dimensions] += -n if d[8] % 2 else n
+    features = _TOKENS.findall(text.lower()) + [text[i : i + 3] for i in range(len(text) - 2)]
+    at = np.array([_signed(f, dimensions) for f in features], dtype=np.int64)
+    out = np.bincount(at[at >= 0], minlength=dimensions) - np.bincount(~at[at < 0], minlength=dimensions).astype(np.float64)
     return out / (np.linalg.norm(out) or 1.0)
 
 

@@ -83,7 +83,7 @@ def ret04_sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q = logs(spark, sf_dir).filter("log_id % 20 = 0 and question is not null").select(F.col("log_id").alias("query_id"), "question")
-    c = table(spark, sf_dir, "kg_nodes").filter("text is not null").groupBy("chunk_id").agg(F.min("text").alias("chunk_text"))
+    c = retrieval.spread(table(spark, sf_dir, "kg_nodes").filter("text is not null").select("chunk_id", "text"), "chunk_id").groupBy("chunk_id").agg(F.min("text").alias("chunk_text"))
     return q.withColumn("embedding", hashed.dense_vector(F.col("question"))), c.withColumn("embedding", hashed.dense_vector(F.col("chunk_text")))
 
 

@@ -218,6 +218,22 @@ def test_keyword_graph_joins_no_pairs(spark):
     assert {x.id: x.k for x in d.select("id", neighbours.most_frequent(F.col("t"), 2).alias("k")).collect()} == {"a": ["b", "a"], "n": None, "e": []}
 
 
+def test_dense_partitions_give_k_rows_a_query(spark):
+    r = random.Random(10)
+    items = [(k, [float(r.randint(0, 2)) for _ in range(3)]) for k in range(200)]  # with many ties
+    i = spark.createDataFrame(items, "item_id int, embedding array<double>").repartition(2)
+    q = spark.createDataFrame([(k, [float(r.randint(1, 3)) for _ in range(3)]) for k in range(9)], "query_id int, embedding array<double>")
+    every = i.withColumnRenamed("embedding", "_i").crossJoin(q).select("query_id", "item_id", F.round(V.cosine(F.col("embedding"), F.col("_i")), 9).alias("score"))
+    want = sorted((x.query_id, x.rank, x.item_id) for x in retrieval.top(every, "query_id", "score", "item_id", 4).collect())
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # many batches a partition
+    try:
+        assert retrieval._near(q, i, 4, 5).count() == 2 * 9 * 4
+        assert sorted((x.query_id, x.rank, x.item_id) for x in retrieval.dense_top(q, i, 4, 5).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 BASE = {"probe_id": "p", "has_truth": True, "answer_exists": True, "recall_at_k": 0.0, "top_k": 5, "missed": 1, "f1": 0.1, "oracle_f1": 0.9, "oracle_answered": True}
 CASES = [
     ({"recall_at_k": 1.0, "f1": 0.9}, []),
