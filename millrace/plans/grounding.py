@@ -82,14 +82,14 @@ def ret04_sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q = logs(spark, sf_dir).filter("log_id % 20 = 0 and question is not null").select(F.col("log_id").alias("query_id"), "question")
+    q = logs(spark, sf_dir).filter("question is not null").select(F.col("log_id").alias("query_id"), "question")
     c = retrieval.spread(table(spark, sf_dir, "kg_nodes").filter("text is not null").select("chunk_id", "text"), "chunk_id").groupBy("chunk_id").agg(F.min("text").alias("chunk_text"))
     return q.withColumn("embedding", hashed.dense_vector(F.col("question"))), c.withColumn("embedding", hashed.dense_vector(F.col("chunk_text")))
 
 
 @query()
 def ret11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of the logs against all nodes by both channels, hashed vectors and keywords, fused, and cut by MMR."""
+    """All questions of the logs against all nodes by both channels, hashed vectors and keywords, fused, and cut by MMR."""
     q, c = _channels(spark, sf_dir)
     return retrieval.search(q, c, 5, mmr_weight=0.7)
 

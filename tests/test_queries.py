@@ -58,3 +58,10 @@ def test_entry(spark):
 @pytest.mark.skipif(not TABLES, reason="no test tables here")
 def test_markdown_sections_are_a_query(spark):
     assert registry.queries()["chk04_markdown"](spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables here")
+def test_search_answers_every_question(spark):
+    asked = {r.log_id for r in spark.read.parquet(f"{SF}/rag_logs.parquet").filter("question is not null").select("log_id").collect()}
+    got = registry.queries()["ret11_search"](spark, SF).collect()
+    assert {r.query_id for r in got} == asked and len(got) == 5 * len(asked)
