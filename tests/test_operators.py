@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hashed
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import chunking, diagnose, grounding, intervals, judged, neighbours, optimize, preprocess, report, retrieval
+from millrace.operators import chunking, diagnose, grounding, intervals, joint, judged, lexical, neighbours, optimize, preprocess, report, retrieval
 from millrace.sources import readers, writers
 from millrace.streaming import progress
 
@@ -426,3 +426,37 @@ def test_spans_misses_and_basis(spark):
     assert tuple(one(spark, grounding.recall_basis(none, F.lit(0.5)))) == (0.5, "chunk") and tuple(one(spark, grounding.recall_basis(F.lit(0.0), F.lit(0.5)))) == (0.0, "span")
     assert one(spark, optimize.eligibility({"capable": F.lit(False), "mappable": F.lit(False), "in_catalog": F.lit(None).cast("boolean")})) == "mappable"
     assert one(spark, optimize.even_places(F.lit(0), 3)) is None and one(spark, optimize.even_places(F.lit(2), 3)) == [0, 1] and one(spark, optimize.even_places(F.lit(10), 3)) == [0, 4, 9]
+
+
+def test_search_is_the_path_of_its_steps(spark, monkeypatch):
+    r, words = random.Random(11), ["사과", "풋사과를", "사과3", "apple", "pineapple", "pear", "3/4", "13/4", "7", "plum"]
+    said = lambda n: " ".join(r.choice(words) for _ in range(n))
+    vector = lambda: r.choice([None, []]) if r.random() < 0.03 else [float(r.randint(-2, 2)) for _ in range(6)]
+    q = spark.createDataFrame([(i, said(r.randint(1, 9)), [0.0] * 6 if i == 3 else vector()) for i in range(80)] + [(98, "?!", None), (99, "apple", None)], "query_id bigint, question string, embedding array<double>")
+    c = spark.createDataFrame([(f"c{i:03}", said(r.randint(0, 12)), vector()) for i in range(300)] + [("same", "apple apple", [1.0] * 6), ("also", "apple pear", [2.0] * 6)], "chunk_id string, chunk_text string, embedding array<double>").repartition(3)
+    items = c.select(F.col("chunk_id").alias("item_id"), "embedding")
+    both = retrieval.fuse(retrieval.dense_top(q, items, 20), retrieval.keyword_top(q, c, 20).withColumnRenamed("chunk_id", "item_id"), 0.5, 40)
+    want = sorted((x.query_id, x.place, x.item_id, "mmr" if x.applied else "kept") for x in retrieval.mmr(both.join(items, "item_id"), 0.7, 5).collect())
+    got = retrieval.search(q, c, 5, mmr_weight=0.7)
+    assert sorted((x.query_id, x.rank, x.item_id, x.status) for x in got.collect()) == want
+    assert {s for *_, s in want} == {"mmr", "kept"}
+    assert retrieval.search(q.limit(0), c, 5, mmr_weight=0.7).count() == retrieval.search(q, c.limit(0), 5, mmr_weight=0.7).count() == 0
+    asked = [x.asDict() for x in q.sort("query_id").collect()]
+    import numpy as np
+    import pyarrow as pa
+
+    # Small blocks, in one process.
+    monkeypatch.setattr(joint, "BLOCK", 7)
+    tokens = {x.query_id: x.t for x in q.select("query_id", T.tokens(F.col("question")).alias("t")).collect()}
+    count = [{t: tokens[x["query_id"]].count(t) for t in tokens[x["query_id"]]} for x in asked]
+    table = pa.table({"query_id": [x["query_id"] for x in asked], "terms": pa.array([list(n) for n in count], pa.list_(pa.string())), "counts": pa.array([list(n.values()) for n in count], pa.list_(pa.int32()))})
+    vectors, has = joint.matrix(pa.array([x["embedding"] for x in asked], pa.list_(pa.float64())))
+    rows = c.select("chunk_id", T.tokens(F.col("chunk_text")).alias("tokens"), "embedding").sort("chunk_id").toArrow().to_batches(max_chunksize=5)
+    out = joint.answers(iter(rows), lexical.Terms(table, retrieval.WHOLE), vectors, has, 5, 20, 40, 0.5, 0.7)
+    assert sorted((x["query_id"], x["rank"], x["item_id"], x["status"]) for b in out for x in b.to_pylist()) == want
+    x = np.random.default_rng(1).normal(size=(5000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = joint.Nearest(x[:90], 20)
+    for a in range(0, 5000, 1700):
+        near.take(x[a : a + 1700], a)
+    assert (near.place == np.argsort(-np.round(x[:90] @ x.T, 12), axis=1, kind="stable")[:, :20]).all()
